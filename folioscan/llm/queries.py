@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.chat import END, GUARD, MAX_TURNS, NOBODY, SYSTEM, rotate_perspectives
 from folioscan.llm.exact_dedup import exact_dedup
+from folioscan.llm.html_text import extract_pages
+from folioscan.llm.line_crf import quality_scores
 from folioscan.llm.mixing import mix_sources
+from folioscan.llm.simhash import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: four-word shingles, links at four or fewer bits."""
+    out = simhash_groups(_table(spark, sf_dir, "documents"), words=4, limit=4)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by the line model."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the contract's weights, targets and caps."""
     return mix_sources(_table(spark, sf_dir, "documents"))
@@ -83,6 +102,9 @@ FROM o GROUP BY conv_id, part, perspective
 """
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
