@@ -9,8 +9,11 @@ from folioscan.llm.chat import END, GUARD, MAX_TURNS, NOBODY, SYSTEM, rotate_per
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.html_text import extract_pages
 from folioscan.llm.line_crf import quality_scores
+from folioscan.llm.line_dedup import MIN_SITES, MIN_VARIETY, dedup_lines
 from folioscan.llm.mixing import mix_sources
+from folioscan.llm.packing import pack_documents
 from folioscan.llm.simhash import simhash_groups
+from folioscan.llm.vector_search import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without boilerplate lines, as a digest of what is kept."""
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", F.length("kept_text").cast("bigint").alias("n_kept_chars"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins; exact copies and documents of one source never share one."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; of equal texts the largest doc_id stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
@@ -50,6 +64,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", F.array_join(spans, ","))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all others: the ten nearest found."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 OP4_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -73,6 +92,19 @@ counted AS (SELECT *, CAST(least(3, epochs + CASE WHEN start + size / 2.0::DOUBL
 SELECT doc_id, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM counted
 """
 
+OP5_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+    unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+m AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
+c AS (SELECT *, coalesce(lag(line) OVER w, chr(10)) || chr(11) || coalesce(lead(line) OVER w, chr(10)) AS around FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT line FROM c WHERE line <> '' GROUP BY line
+  HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT around) >= {MIN_VARIETY} * count(*)),
+k AS (SELECT doc_id, CAST(count(*) FILTER (WHERE line IN (FROM b)) AS BIGINT) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (FROM b)), '') AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, n_removed, CAST(length(kept) AS BIGINT) AS n_kept_chars, sha256(kept) AS kept_sha256 FROM k
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -106,12 +138,16 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL = {
     "op4_mixing": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
