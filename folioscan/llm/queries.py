@@ -12,6 +12,7 @@ from folioscan.llm.line_crf import quality_scores
 from folioscan.llm.line_dedup import MIN_SITES, MIN_VARIETY, dedup_lines
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.packing import pack_documents
+from folioscan.llm.secrets import scan_secrets
 from folioscan.llm.simhash import simhash_groups
 from folioscan.llm.vector_search import nearest
 
@@ -52,6 +53,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates in all documents with the forest's verdict."""
+    out = scan_secrets(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_no", "start", "stop", F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; of equal texts the largest doc_id stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
@@ -140,6 +147,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_nearest": op10_nearest,
