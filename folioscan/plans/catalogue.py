@@ -1,6 +1,496 @@
-"""Registered queries of the document-quality engine."""
+"""Registered queries: the engine's operators over the generated tables, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioscan.functions import patterns as P
+from folioscan.functions import text as T
+from folioscan.operators import bibliography, drift, extensions, html_report, quality, signals, tables
+from folioscan.sources import projects
+
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LICENCE = r"(?i)licensed|license|all rights reserved|lorem ipsum|\bTODO\b"
+#: The part of NUMBER and WORD that both dialects share.
+SQL_NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?"
+SQL_WORD = r"[\p{L}\p{N}_]+"
+PAIRS = (("the", "of"), ("der", "die"), ("la", "de"), ("que", "el"), ("le", "les"), ("and", "to"))
+TAGS = ("header", "nav", "main", "article", "aside", "footer", "title", "form")
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_TIER = """CASE WHEN abs(reported - computed) >= 2.0 OR abs(reported - computed) / greatest(abs(computed), 1e-9) * 100 >= 5.0 THEN 'deterministic'
+  WHEN abs(reported - computed) >= 0.5 OR abs(reported - computed) / greatest(abs(computed), 1e-9) * 100 >= 1.0 THEN 'likely_error' ELSE 'ambiguous' END"""
+
+_LAST = """
+o AS (SELECT l_orderkey, l_quantity, row_number() OVER w AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS s
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)),
+g AS (SELECT l_orderkey, CAST(n - 1 AS BIGINT) AS component_count, l_quantity AS reported, (s - l_quantity) / (n - 1) AS computed FROM o WHERE rn = n AND n >= 3)"""
+
+
+@_query(f"""WITH {_LAST}
+SELECT l_orderkey, component_count, printf('%.2f', reported) AS reported_value, printf('%.2f', computed) AS visible_computed_value,
+  printf('%+.2f', reported - computed) AS delta, {_TIER} AS gap_tier FROM g WHERE abs(reported - computed) > 0.5 * pow(10.0, -2)""")
+def q01_table_mean_audit(spark, sf_dir):
+    out = tables.last_against_mean(_t(spark, sf_dir, "lineitem"), "l_orderkey", LINE_ORDER, "l_quantity")
+    return out.select("l_orderkey", F.col("component_count").cast("bigint").alias("component_count"), T.number_text(F.col("reported"), F.lit(2)).alias("reported_value"), "visible_computed_value", "delta", "gap_tier")
+
+
+@_query(f"""WITH r AS (SELECT l_suppkey, l_quantity AS reported, count(*) OVER w AS n, sum(l_quantity) OVER w / count(*) OVER w AS computed FROM lineitem
+  WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT l_suppkey, {_TIER} AS gap_tier FROM r WHERE n >= 2 AND abs(reported - computed) > 0.5 * pow(10.0, -2))
+SELECT l_suppkey, gap_tier, CAST(count(*) AS BIGINT) AS n_signals FROM s GROUP BY ALL""")
+def q02_column_mean_audit(spark, sf_dir):
+    out = tables.running_mean(_t(spark, sf_dir, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"], "l_quantity")
+    return out.groupBy("l_suppkey", "gap_tier").agg(F.count("*").alias("n_signals"))
+
+
+@_query("""WITH p AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_groups, printf('%.4f', avg(s / n)) AS grouped_mean, printf('%.4f', sum(s) / sum(n)) AS plain_mean FROM p GROUP BY l_orderkey HAVING count(*) > 1""")
+def q03_grouped_mean_of_means(spark, sf_dir):
+    out = tables.mean_of_means(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity")
+    return out.select("l_orderkey", F.col("groups").alias("n_groups"), T.number_text(F.col("grouped_mean"), F.lit(4)).alias("grouped_mean"), T.number_text(F.col("plain_mean"), F.lit(4)).alias("plain_mean"))
+
+
+def _labelled(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@_query("""SELECT d.doc_id, c.column_name FROM documents d LEFT JOIN labels l USING (doc_id), (VALUES ('quality'), ('toxic')) c(column_name)
+WHERE CASE c.column_name WHEN 'quality' THEN l.quality ELSE l.toxic END IS NULL""")
+def q04_blank_cells(spark, sf_dir):
+    out = quality.required_fields(_labelled(spark, sf_dir), F.lit("documents"), F.col("doc_id"), {"quality": F.col("quality"), "toxic": F.col("toxic")}, "blank_cell")
+    return out.select(F.col("subject").cast("bigint").alias("doc_id"), F.col("detail").alias("column_name"))
+
+
+@_query("""WITH n AS (SELECT o_custkey, o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_cells FROM orders),
+m AS (SELECT *, max(n_cells) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS expected FROM n)
+SELECT o_custkey, o_orderkey, CAST(n_cells AS BIGINT) AS n_cells, CAST(expected AS BIGINT) AS expected FROM m WHERE n_cells < expected""")
+def q05_ragged_rows(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    sized = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(lines, "o_orderkey", "left").withColumn("n_cells", F.coalesce("n", F.lit(0)).cast("bigint"))
+    upto = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return sized.withColumn("expected", F.max("n_cells").over(upto)).where("n_cells < expected").select("o_custkey", "o_orderkey", "n_cells", "expected")
+
+
+@_query("SELECT l_orderkey, l_linenumber, CAST(count(*) - 1 AS BIGINT) AS n_repeats FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def q06_unique_key(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    found = quality.unique_key(rows, F.lit("lineitem"), F.struct("l_orderkey", "l_linenumber"), F.struct("l_partkey", "l_suppkey"), "D1")
+    key = F.split(F.regexp_replace("subject", "[{} ]", ""), ",")
+    return found.groupBy(key[0].cast("bigint").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber")).agg(F.count("*").alias("n_repeats"))
+
+
+@_query("""SELECT d.doc_id, f.field FROM documents d LEFT JOIN labels l USING (doc_id), (VALUES ('quality'), ('toxic'), ('lang'), ('source')) f(field)
+WHERE CASE f.field WHEN 'quality' THEN CAST(l.quality AS VARCHAR) WHEN 'toxic' THEN CAST(l.toxic AS VARCHAR) WHEN 'lang' THEN d.lang ELSE d.source END IS NULL""")
+def q07_required_fields(spark, sf_dir):
+    out = quality.required_fields(_labelled(spark, sf_dir), F.lit("documents"), F.col("doc_id"), {k: F.col(k) for k in ("quality", "toxic", "lang", "source")}, "D2")
+    return out.select(F.col("subject").cast("bigint").alias("doc_id"), F.col("detail").alias("field"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def q08_conditional_required(spark, sf_dir):
+    urgent = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    return quality.foreign_key(urgent, ["o_orderkey"], _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")))
+
+
+@_query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')")
+def q09_allowed_values(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return quality.allowed_values(rows, F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q10_foreign_key(spark, sf_dir):
+    return quality.foreign_key(_t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], _t(spark, sf_dir, "labels"))
+
+
+@_query("""SELECT c.o_custkey, s.status AS o_orderstatus FROM (SELECT DISTINCT o_custkey FROM orders) c, (VALUES ('F'), ('O'), ('P')) s(status)
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.o_custkey AND o.o_orderstatus = s.status)""")
+def q11_expected_members(spark, sf_dir):
+    return quality.expected_members(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"])
+
+
+@_query("""WITH s AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS actual FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS declared, CAST(CAST(actual AS DECIMAL(18,2)) AS VARCHAR) AS actual
+FROM orders JOIN s ON o_orderkey = l_orderkey WHERE CAST(o_totalprice AS DECIMAL(18,2)) <> actual""")
+def q12_declared_vs_actual(spark, sf_dir):
+    declared = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("declared"))
+    actual = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("actual"))
+    out = quality.declared_vs_actual(declared, actual, ["o_orderkey"], "declared", "actual")
+    return out.select("o_orderkey", F.col("declared").cast("string").alias("declared"), F.col("actual").cast("string").alias("actual"))
+
+
+@_query("""SELECT coalesce(lang, '(all)') AS unit, CAST(count(*) AS BIGINT) AS total, CAST(count(quality) AS BIGINT) AS reviewed,
+  CAST(count(*) FILTER (WHERE quality = 0) AS BIGINT) AS with_issues, CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS clean, CAST(count(*) - count(quality) AS BIGINT) AS skipped
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""")
+def q13_coverage_receipt(spark, sf_dir):
+    out = _labelled(spark, sf_dir).rollup("lang").agg(F.count("*").alias("total"), F.count("quality").alias("reviewed"), F.count_if(F.col("quality") == 0).alias("with_issues"), F.count_if(F.col("quality") == 1).alias("clean"))
+    return out.select(F.coalesce("lang", F.lit("(all)")).alias("unit"), "total", "reviewed", "with_issues", "clean", (F.col("total") - F.col("reviewed")).alias("skipped"))
+
+
+@_query("SELECT o_orderkey FROM orders EXCEPT (SELECT l_orderkey FROM lineitem UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
+def q14_rendered_or_deferred(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    return quality.neither(orders, ["o_orderkey"], _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), orders.where("o_orderstatus = 'O'"))
+
+
+_RUNS = """
+a AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS severity, o_orderkey % 2 = 0 AS rationale FROM orders),
+b AS (SELECT CAST(CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS VARCHAR) AS key,
+  CASE WHEN o_orderkey % 7 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS severity, o_orderkey % 3 = 0 AS rationale FROM orders WHERE o_orderkey % 11 <> 0)"""
+
+
+@_query(f"""WITH {_RUNS},
+j AS (SELECT coalesce(a.key, b.key) AS key, a.key AS ka, b.key AS kb, a.severity AS sa, b.severity AS sb, a.rationale AS ra, b.rationale AS rb FROM a FULL JOIN b ON a.key = b.key)
+SELECT key, 'only_in_first' AS kind, CAST(NULL AS VARCHAR) AS detail FROM j WHERE kb IS NULL
+UNION ALL SELECT key, 'only_in_second', NULL FROM j WHERE ka IS NULL
+UNION ALL SELECT key, 'severity', sa || ' -> ' || sb || ' (distance ' || CAST(abs(CAST(left(sa, 1) AS INT) - CAST(left(sb, 1) AS INT)) AS VARCHAR) || ')' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND sa <> sb
+UNION ALL SELECT key, 'rationale', CAST(ra AS VARCHAR) || ' -> ' || CAST(rb AS VARCHAR) FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ra <> rb""")
+def q15_run_drift(spark, sf_dir):
+    first, second = _runs(spark, sf_dir)
+    ranks = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
+    return drift.compare(first, second, ranks).select("key", "kind", "detail")
+
+
+def _runs(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    first = orders.select(F.lit("all").alias("scope"), key.cast("string").alias("key"), F.col("o_orderpriority").alias("severity"), (key % 2 == 0).alias("rationale"), key.alias("ord"))
+    moved = F.when(key % 13 == 0, key + 1000000000).otherwise(key)
+    severity = F.when(key % 7 == 0, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    second = orders.where(key % 11 != 0).select(F.lit("all").alias("scope"), moved.cast("string").alias("key"), severity.alias("severity"), (key % 3 == 0).alias("rationale"), key.alias("ord"))
+    return first, second
+
+
+@_query(f"""WITH {_RUNS}, u AS (SELECT 'first' AS run, severity FROM a UNION ALL SELECT 'second', severity FROM b)
+SELECT severity, CAST(count(*) FILTER (WHERE run = 'first') AS BIGINT) AS first, CAST(count(*) FILTER (WHERE run = 'second') AS BIGINT) AS second FROM u GROUP BY severity""")
+def q16_severity_histogram(spark, sf_dir):
+    return drift.histogram(*_runs(spark, sf_dir)).select("severity", "first", "second")
+
+
+@_query(rf"""WITH s AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '{SQL_WORD}')) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '{P.CITATION_MARK}')) AS BIGINT) AS n_cites FROM documents)
+SELECT *, printf('%.1f', n_cites / CAST(greatest(n_words, 1) AS DOUBLE) * 1000) AS density FROM s""")
+def q17_word_cite_stats(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("n_words"), T.citation_marks(F.col("text")).alias("n_cites"))
+    return docs.withColumn("density", T.per_thousand(F.col("n_cites"), F.col("n_words")))
+
+
+@_query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+m AS (SELECT *, len(regexp_extract_all(line, '{SQL_WORD}')) AS n FROM l),
+h AS (SELECT *, CASE WHEN n BETWEEN 1 AND 3 THEN 1 ELSE 0 END AS head, sum(CASE WHEN n BETWEEN 1 AND 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section_no FROM m)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(line) FILTER (WHERE head = 1) AS title, CAST(sum(CASE WHEN head = 0 THEN n ELSE 0 END) AS BIGINT) AS n_words
+FROM h GROUP BY doc_id, section_no HAVING sum(CASE WHEN head = 0 THEN n ELSE 0 END) > 0""")
+def q18_section_segments(spark, sf_dir):
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    n = T.words(F.col("line"))
+    return signals.segments(lines, (n >= 1) & (n <= 3), F.col("line")).select("doc_id", "section_no", "title", "n_words")
+
+
+@_query(rf"""WITH e AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{P.EMAIL}'))) AS found FROM documents)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_found, array_to_string(found, ',') AS emails FROM e WHERE len(found) > 0""")
+def q19_identity_signals(spark, sf_dir):
+    found = F.array_sort(F.array_distinct(T.find_all(F.col("text"), P.EMAIL)))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_found"), F.array_join(found, ",").alias("emails")).where("n_found > 0")
+
+
+@_query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{LICENCE}')) AS value FROM l)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, value, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL""")
+def q20_marked_lines(spark, sf_dir):
+    found = signals.scan(_t(spark, sf_dir, "documents"), "marked", LICENCE)
+    return found.groupBy("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "value").agg(F.count("*").alias("n"))
+
+
+@_query(r"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_before, CAST(length(c) AS BIGINT) AS n_after, md5(c) AS digest
+FROM (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS c FROM documents)""")
+def q21_text_normalise(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("c", T.compact(F.col("text")))
+    return docs.select("doc_id", F.length("text").cast("bigint").alias("n_before"), F.length("c").cast("bigint").alias("n_after"), F.md5(F.encode("c", "UTF-8")).alias("digest"))
+
+
+@_query(rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+m AS (SELECT *, regexp_extract_all(line, '{SQL_NUMBER}') AS found FROM l)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(len(found) AS BIGINT) AS n_numbers, found[1] AS first_text,
+  printf('%.4f', CAST(replace(regexp_replace(found[1], '%$', ''), ',', '') AS DOUBLE)) AS first_value,
+  coalesce(nullif(regexp_replace(regexp_replace(trim(left(line, strpos(line, found[1]) - 1), ' '), '\s{{2,}}', ' ', 'g'), '^\d+\s+', ''), ''), '(row label unavailable)') AS label
+FROM m WHERE len(found) > 0""")
+def q22_number_extract(spark, sf_dir):
+    lines = tables.text_lines(_t(spark, sf_dir, "documents")).withColumn("numbers", T.all_numbers(F.col("line"))).where(F.size("numbers") > 0)
+    first = F.get("numbers", F.lit(0))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.size("numbers").cast("bigint").alias("n_numbers"), first["text"].alias("first_text"), T.number_text(first["value"], F.lit(4)).alias("first_value"), T.row_label(F.col("line")).alias("label"))
+
+
+@_query("""WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS total FROM documents)
+SELECT lang, doc_id, n_chars, CAST(rank AS INTEGER) AS rank, CAST(total AS BIGINT) AS total, total > 5 AS incomplete FROM r WHERE rank <= 5""")
+def q23_capped_listing(spark, sf_dir):
+    return quality.capped(_t(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.asc("doc_id")], 5)
+
+
+@_query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{SQL_NUMBER}')) AS BIGINT) AS n_numbers FROM documents
+WHERE regexp_matches(text, '(?i)license') AND len(regexp_extract_all(text, '{SQL_NUMBER}')) < 2""")
+def q24_vague_vs_concrete(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where(T.has(F.col("text"), "(?i)license"))
+    return docs.select("doc_id", F.regexp_count("text", F.lit(P.NUMBER)).cast("bigint").alias("n_numbers")).where("n_numbers < 2")
+
+
+@_query(rf"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{SQL_WORD}')) AS token FROM benchmark),
+t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{SQL_WORD}'))) AS token FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_unknown FROM t WHERE token NOT IN (SELECT token FROM v) GROUP BY doc_id""")
+def q25_unknown_tokens(spark, sf_dir):
+    word = r"[\p{L}\p{N}_]+"
+    tokens = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.find_all(F.col("text"), word))).alias("token"))
+    known = _t(spark, sf_dir, "benchmark").select(F.explode(T.find_all(F.col("text"), word)).alias("token"))
+    return quality.foreign_key(tokens, ["token"], known).groupBy("doc_id").agg(F.count("*").alias("n_unknown"))
+
+
+@_query(f"""WITH t AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS tokens FROM documents), p(first, second) AS (VALUES {', '.join(str(p) for p in PAIRS)})
+SELECT doc_id, first, second FROM t, p WHERE list_contains(tokens, first) AND list_contains(tokens, second)""")
+def q26_pair_cooccurrence(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("tokens"))
+    return signals.pairs_present(docs, "tokens", PAIRS).select("doc_id", "first", "second")
+
+
+_PARTS = {"query": r"\?", "fragment": "#", "www": r"//www\.", "https": "^https:"}
+
+
+@_query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS field, count(*) FILTER (WHERE regexp_matches(url, '{v}')) AS n_with, count(*) AS n_total FROM pages" for k, v in _PARTS.items()) + """)
+SELECT field, CAST(n_with AS BIGINT) AS n_with, CAST(n_total AS BIGINT) AS n_total FROM c WHERE n_with > 0 AND n_with < n_total""")
+def q27_field_presence_drift(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.lit("pages").alias("scope"), *[F.when(T.has(F.col("url"), v), F.lit("yes")).alias(k) for k, v in _PARTS.items()])
+    return bibliography.presence_drift(pages, "scope", list(_PARTS)).select("field", "n_with", "n_total")
+
+
+@_query("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def q28_type_mix(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.lit("events").alias("scope"), F.col("event_type").alias("kind"))
+    return bibliography.type_mix(rows, "scope", "kind").select("kind", "n")
+
+
+@_query("""SELECT CAST(count(*) FILTER (WHERE length(url) <= 32) AS BIGINT) AS n_short, CAST(count(*) FILTER (WHERE length(url) >= 44) AS BIGINT) AS n_long,
+  arg_min(url, page_id) FILTER (WHERE length(url) <= 32) AS first_short, arg_min(url, page_id) FILTER (WHERE length(url) >= 44) AS first_long FROM pages""")
+def q29_short_long_mix(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select(F.lit("pages").alias("scope"), "url", "page_id")
+    return bibliography.length_mix(rows, "scope", "url", "page_id", 32, 44).select("n_short", "n_long", "first_short", "first_long")
+
+
+@_query("""SELECT style, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%#%' THEN 'fragment' ELSE 'plain' END AS style FROM pages) GROUP BY 1""")
+def q30_separator_drift(spark, sf_dir):
+    style = F.when(F.contains("url", F.lit("?")), "query").when(F.contains("url", F.lit("#")), "fragment").otherwise("plain")
+    return bibliography.type_mix(_t(spark, sf_dir, "pages").select(F.lit("pages").alias("scope"), style.alias("style")), "scope", "style").select("style", "n")
+
+
+@_query("""WITH f AS (SELECT p_name, p_brand, min(p_partkey) AS k FROM part GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY k) AS i, count(*) OVER (PARTITION BY p_name) AS n FROM f)
+SELECT p_name AS name, CAST(n AS BIGINT) AS n_distinct, string_agg(p_brand, '; ' ORDER BY k) FILTER (WHERE i <= 3) AS preview FROM r WHERE n > 1 GROUP BY p_name, n""")
+def q31_redefinition(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select(F.lit("part").alias("doc_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("expansion"), F.col("p_partkey").alias("ord"))
+    return signals.redefinitions(rows, 3).select("name", "n_distinct", F.array_join("preview", "; ").alias("preview"))
+
+
+@_query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_error FROM events""")
+def q32_carry_forward(spark, sf_dir):
+    return signals.carry_forward(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error", (Window.unboundedPreceding, -1)).select("event_id", F.coalesce("last_error", F.lit(-1)).alias("last_error"))
+
+
+@_query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), -1) AS last_error FROM events""")
+def q33_bounded_lookback(spark, sf_dir):
+    return signals.carry_forward(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error", (-29, 0)).select("event_id", F.coalesce("last_error", F.lit(-1)).alias("last_error"))
+
+
+@_query("""WITH e AS (SELECT user_id, value, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM events)
+SELECT user_id, CAST(epoch AS BIGINT) AS epoch, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS VARCHAR) AS total FROM e GROUP BY ALL""")
+def q34_reset_epochs(spark, sf_dir):
+    rows = signals.epochs(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
+    return rows.groupBy("user_id", "epoch").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("string").alias("total"))
+
+
+@_query(r"""WITH u AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, len(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1), '/')) AS depth FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, url) AS i FROM u) SELECT host, url, CAST(depth AS BIGINT) AS depth FROM r WHERE i = 1""")
+def q35_candidate_rank(spark, sf_dir):
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    depth = F.size(F.split(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/?([^?#]*)", 1), "/")).cast("bigint")
+    return projects.best_candidate(_t(spark, sf_dir, "pages").select(host.alias("host"), "url", depth.alias("depth")), "host", ["depth", "url"]).select("host", "url", "depth")
+
+
+@_query("""WITH RECURSIVE up(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0
+  UNION ALL SELECT root, node // 2, depth + 1 FROM up WHERE node // 2 >= 1) SELECT root, node, CAST(depth AS INTEGER) AS depth FROM up""")
+def q36_include_closure(spark, sf_dir):
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    edges = keys.where("k >= 2").select(F.col("k").alias("src"), F.floor(F.col("k") / 2).cast("bigint").alias("dst"))
+    return projects.closure(edges, keys.where("k % 50 = 0").select(F.col("k").alias("root")))
+
+
+@_query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'paper') || '_' || left(sha1(url), 6) AS name FROM pages""")
+def q37_output_name(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", projects.output_name(F.col("url")).alias("name"))
+
+
+@_query()
+def q38_html_structure(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("bundle_id"), "html")
+    items = html_report.html_items(pages)
+    return items.groupBy("bundle_id").agg(F.count_if(F.col("kind") == "table").alias("n_tables"), F.count_if(F.col("kind") == "section").alias("n_sections"), F.count_if(F.col("kind") == "link").alias("n_links"), F.max(F.when(F.col("kind") == "status", F.col("unclosed"))).alias("unclosed"))
+
+
+@_query("WITH t(tag) AS (VALUES " + ", ".join(f"('{t}')" for t in TAGS) + r") SELECT page_id, tag FROM pages, t WHERE NOT regexp_matches(html, '<' || tag || '[\s>]')")
+def q39_html_required_elements(spark, sf_dir):
+    present = F.filter(F.array(*[F.when(T.has(F.col("html"), rf"<{t}[\s>]"), F.lit(t)) for t in TAGS]), lambda t: t.isNotNull())
+    pages = _t(spark, sf_dir, "pages").select("page_id", present.alias("tags"))
+    return pages.select("page_id", F.explode(F.array_except(F.array(*[F.lit(t) for t in TAGS]), "tags")).alias("tag"))
+
+
+@_query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS path FROM pages),
+k AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_dangling FROM l WHERE path NOT IN (SELECT path FROM k) GROUP BY page_id""")
+def q40_html_links(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    links = pages.select("page_id", F.explode(F.array_distinct(T.find_all(F.col("html"), 'href="(/[^"]*)"', 1))).alias("path"))
+    known = pages.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("path"))
+    return quality.foreign_key(links, ["path"], known).groupBy("page_id").agg(F.count("*").alias("n_dangling"))
+
+
+# --- the LaTeX, PDF-text and bibliography operators on text made from the tables -------------------------------------
+
+
+def _order_rows(spark, sf_dir, least: int) -> DataFrame:
+    item = F.struct(*LINE_ORDER, "l_quantity")
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = rows.where(F.size("items") >= least)
+    return rows.select(F.col("l_orderkey").alias("doc_id"), F.transform("items", lambda i: T.number_text(i["l_quantity"], F.lit(2))).alias("cells"))
+
+
+_ORDER_SIGNALS = f"""SELECT l_orderkey AS doc_id, component_count, printf('%.2f', reported) AS reported_value, printf('%.2f', computed) AS visible_computed_value,
+  printf('%+.2f', reported - computed) AS delta, {_TIER} AS gap_tier FROM g WHERE abs(reported - computed) > 0.5 * pow(10.0, -2)"""
+_SIGNAL_COLUMNS = ["doc_id", "component_count", "reported_value", "visible_computed_value", "delta", "gap_tier"]
+
+
+@_query(f"WITH {_LAST} {_ORDER_SIGNALS}")
+def q41_latex_table_audit(spark, sf_dir):
+    """Each order as a LaTeX table: its lines are the components, its last line the printed average."""
+    rows = _order_rows(spark, sf_dir, 3)
+    n = F.size("cells")
+    head = F.concat(F.lit("Order & "), F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.lit("Part")), " & "), F.lit(" & Avg \\\\\n\\midrule\n"))
+    body = F.concat(F.lit("order & "), F.array_join("cells", " & "), F.lit(" \\\\\n"))
+    text = F.concat(F.lit("\\begin{tabular}{lrrr}\n"), head, body, F.lit("\\end{tabular}\n"))
+    return tables.table_signals(rows.select("doc_id", text.alias("text"))).select(*_SIGNAL_COLUMNS)
+
+
+@_query(f"WITH {_LAST} {_ORDER_SIGNALS} AND component_count >= 3")
+def q42_text_line_audit(spark, sf_dir):
+    """Each order as lines of extracted text: a table line, a header with a summary column, one row."""
+    rows = _order_rows(spark, sf_dir, 4)
+    head = F.concat(F.lit("Model "), F.array_join(F.transform(F.sequence(F.lit(1), F.size("cells") - 1), lambda k: F.lit("Part")), " "), F.lit(" Avg."))
+    text = F.concat_ws("\n", F.lit("Table 1 Orders"), head, F.concat(F.lit("Order  "), F.array_join("cells", "  ")))
+    return tables.line_signals(rows.select("doc_id", text.alias("text"))).select(*_SIGNAL_COLUMNS)
+
+
+@_query("""SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'article' ELSE 'inproceedings' END AS type, 'k' || CAST(p_partkey AS VARCHAR) AS key, p_brand AS venue,
+  CASE WHEN p_size % 3 = 0 THEN 'yes' ELSE 'no' END AS has_url, '1--' || CAST(p_size AS VARCHAR) AS pages FROM part""")
+def q43_bibliography(spark, sf_dir):
+    """Each part as a bibliography entry."""
+    part = _t(spark, sf_dir, "part")
+    odd = F.col("p_size") % 2 != 0
+    text = F.concat(
+        F.lit("@"), F.when(odd, "InProceedings").otherwise("Article"), F.lit("{k"), F.col("p_partkey").cast("string"), F.lit(",\n  title = {{A} "), F.col("p_name"), F.lit("},\n  "),
+        F.when(odd, "booktitle").otherwise("journal"), F.lit(' = "'), F.col("p_brand"), F.lit('",\n  pages={1--'), F.col("p_size").cast("string"), F.lit("},"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("\n  url = {https://example.org/x},")).otherwise(F.lit("")), F.lit("\n}\n"),
+    )
+    docs = part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return bibliography.coverage(bibliography.entries(docs)).select("doc_id", "type", "key", "venue", "has_url", "pages")
+
+
+# --- extensions ------------------------------------------------------------------------------------------------------
+
+
+@_query("""WITH t AS (SELECT l_suppkey, l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY ALL),
+r AS (SELECT *, rank() OVER w AS place, total = max(total) OVER (PARTITION BY l_returnflag) AS best, total - lag(total) OVER w AS delta FROM t WINDOW w AS (PARTITION BY l_returnflag ORDER BY total DESC, l_suppkey))
+SELECT l_suppkey, l_returnflag, total, CAST(dense_rank() OVER (PARTITION BY l_returnflag ORDER BY total DESC) AS INTEGER) AS place, best, coalesce(delta, 0) AS delta FROM r""")
+def x01_ranks(spark, sf_dir):
+    totals = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").cast("bigint").alias("total"))
+    return extensions.ranks(totals, "l_returnflag", "l_suppkey", "total").select("l_suppkey", "l_returnflag", "total", "place", "best", F.coalesce("delta", F.lit(0)).alias("delta"))
+
+
+@_query("SELECT p_name AS kind, CAST(count(DISTINCT p_type) AS BIGINT) AS n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+def x02_consistent_value(spark, sf_dir):
+    return extensions.inconsistent(_t(spark, sf_dir, "part"), ["p_name"], "p_type").withColumnRenamed("p_name", "kind")
+
+
+@_query(r"""WITH s AS (SELECT conv_id, turn, trim(unnest(regexp_extract_all(text, '[^.!?]+[.!?]?')), chr(10) || ' ') AS sentence FROM conversations)
+SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS n FROM s WHERE regexp_matches(sentence, '(?i)\b(?:only|that|always|never|all)\b') GROUP BY ALL""")
+def x03_promises(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    found = extensions.sentences_with(rows, {"scope": r"(?i)\b(?:only|that|always|never|all)\b"})
+    return found.groupBy("doc_id.conv_id", "doc_id.turn").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem WHERE l_discount > 0.09 OR l_discount < 0")
+def x08_impossible_values(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    return extensions.out_of_range(rows, "l_discount", 0.0, 0.09)
+
+
+@_query("""WITH p(phrase) AS (VALUES ('of the'), ('in the'), ('de la'), ('for the')) SELECT doc_id, phrase FROM documents, p WHERE contains(lower(text), phrase)""")
+def x09_lexicon(spark, sf_dir):
+    return extensions.lexicon(_t(spark, sf_dir, "documents"), ["of the", "in the", "de la", "for the"])
+
+
+@_query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS par FROM documents)
+SELECT doc_id, CAST(k AS BIGINT) AS paragraph_no, trim(regexp_extract(par, '^[^.!?]*[.!?]?'), ' ') AS sentence FROM l WHERE trim(par, ' ') <> ''""")
+def x10_first_sentences(spark, sf_dir):
+    out = extensions.first_sentences(_t(spark, sf_dir, "documents"), "\n")
+    return out.select("doc_id", F.col("paragraph_no").cast("bigint").alias("paragraph_no"), "sentence")
+
+
+@_query("""SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS n_blocker, CAST(count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS BIGINT) AS n_major FROM orders
+GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderpriority = '1-URGENT') >= 2 OR count(*) FILTER (WHERE o_orderpriority = '2-HIGH') >= 3""")
+def x11_extra_section(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey"), F.col("o_orderpriority").alias("severity"))
+    return extensions.needs_extra_section(rows, "o_custkey", "1-URGENT", "2-HIGH")
+
+
+@_query("""WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT p_brand, arg_max(p_type, (n, p_type)) AS usual FROM c GROUP BY 1)
+SELECT p_partkey, p_type AS value, usual FROM part JOIN m USING (p_brand) WHERE p_type <> usual""")
+def x13_majority_drift(spark, sf_dir):
+    return extensions.majority_drift(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_type")
+
+
+@_query("""SELECT o_custkey, CAST(count(*) AS BIGINT) AS shown, count(*) = 0 AS empty FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1
+UNION ALL SELECT DISTINCT o_custkey, 0, true FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
+def x14_filtered_sections(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("severity"), F.col("o_orderstatus").alias("issue_type"))
+    return extensions.filtered_sections(rows, "o_custkey", "1-URGENT", "F")
+
+
+@_query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(left(o_orderpriority, 1) AS INTEGER) AS place, lag(CAST(left(o_orderpriority, 1) AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+SELECT o_custkey, o_orderkey, place, before FROM o WHERE before > place""")
+def x15_section_order(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.left("o_orderpriority", F.lit(1)).cast("int").alias("place"))
+    return extensions.out_of_order(rows, "o_custkey", "o_orderkey", "place")
+
+
+@_query("""SELECT c_nationkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS p
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def x16_decision_tally(spark, sf_dir):
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").join(customers, "o_custkey")
+    out = extensions.tally(rows, "c_nationkey", "o_orderstatus", ["F", "O", "P"])
+    return out.select("c_nationkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
