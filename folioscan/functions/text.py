@@ -32,10 +32,16 @@ def compact(text: Column) -> Column:
     return F.trim(replace_all(F.coalesce(text, F.lit("")), SPACE, " "))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use refers to it: without this, chained functions that
+    mention their input twice would double the expression at every link."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def text_lines(text: Column) -> Column:
     """Lines without their ends; a final line end adds no empty line."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"\R")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(F.coalesce(text, F.lit("")), r"\R"), cut)
 
 
 def code_line(line: Column) -> Column:
@@ -46,7 +52,6 @@ def code_line(line: Column) -> Column:
 def strip_comments(text: Column) -> Column:
     """Source text without comments. Lines of verbatim-like environments stay whole, nested ones counted by depth; the
     fold that counts runs only for texts that have such an environment."""
-    rows = text_lines(text)
 
     def step(acc: Column, line: Column) -> Column:
         begins = has(line, _VERBATIM_BEGIN)
@@ -54,9 +59,12 @@ def strip_comments(text: Column) -> Column:
         depth = acc["depth"] + F.when(begins, 1).when(ends, -1).otherwise(0)
         return F.struct(depth.alias("depth"), F.concat(acc["out"], F.array(F.when(begins | (acc["depth"] > 0), line).otherwise(code_line(line)))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
-    kept = F.when(has(text, _VERBATIM_BEGIN), F.aggregate(rows, start, step)["out"]).otherwise(F.transform(rows, code_line))
-    return F.array_join(kept, "\n")
+    def strip(whole: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+        rows = text_lines(whole)
+        return F.array_join(F.when(has(whole, _VERBATIM_BEGIN), F.aggregate(rows, start, step)["out"]).otherwise(F.transform(rows, code_line)), "\n")
+
+    return let(text, strip)
 
 
 def bare_line(text: Column) -> Column:
@@ -99,7 +107,9 @@ def matches(text: Column, pattern: str) -> Column:
 
 def split_cells(row: Column) -> Column:
     """Cells of a table row: split at ampersands behind an even number of backslashes, which stay in the left cell."""
-    return find_all(F.concat(row, F.lit("&")), r"([^&\\]*+(?:\\.[^&\\]*+)*+)&", 1)
+    # a row that ends in an open escape must not swallow the closing mark
+    closed = lambda r: F.concat(r, F.when(has(r, r"(?<!\\)(?:\\\\)*\\$"), F.lit(" ")).otherwise(F.lit("")), F.lit("&"))
+    return find_all(let(row, closed), r"([^&\\]*+(?:\\.[^&\\]*+)*+)&", 1)
 
 
 def cell_text(cell: Column) -> Column:
@@ -226,12 +236,18 @@ def safe_stem(path: Column, default: str = "paper") -> Column:
 def plain_text(source: Column) -> Column:
     """LaTeX source as readable text by a chain of replacements."""
     def heads(text: Column, pattern: str, make) -> Column:
-        # each match is cleaned on its own: split into (before, match) steps and rebuilt
-        steps = find_all(text, rf"\G(?s:.*?)(?:{pattern})")
-        found = F.transform(steps, lambda s: F.regexp_extract(s, rf"(?s)^(?:.*?)({pattern})\z", 1))
-        before = F.zip_with(steps, found, lambda s, m: F.substr(s, F.lit(1), F.length(s) - F.length(m)))
-        tail = F.substr(text, F.aggregate(steps, F.lit(0), lambda a, s: a + F.length(s)) + 1)
-        return F.concat(F.array_join(F.zip_with(before, found, lambda b, m: F.concat(b, make(m))), ""), tail)
+        # each match is cleaned on its own: the text is split into steps that end in a match, and rebuilt
+        def rebuild(whole: Column) -> Column:
+            def one(step: Column) -> Column:
+                return let(F.regexp_extract(step, rf"(?s)^(?:.*?)({pattern})\z", 1), lambda m: F.concat(F.substr(step, F.lit(1), F.length(step) - F.length(m)), make(m)))
+
+            def join(steps: Column) -> Column:
+                rest = F.substr(whole, F.aggregate(steps, F.lit(0), lambda n, s: n + F.length(s)) + 1)
+                return F.concat(F.array_join(F.transform(steps, one), ""), rest)
+
+            return let(find_all(whole, rf"\G(?s:.*?)(?:{pattern})"), join)
+
+        return let(text, rebuild)
 
     text = strip_comments(source)
     text = heads(text, P.TITLE, lambda m: F.concat(F.lit("\n\n# TITLE: "), one_line(F.regexp_extract(m, P.TITLE, 1)), F.lit("\n")))

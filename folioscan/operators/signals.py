@@ -54,7 +54,7 @@ def title_and_abstract(docs: DataFrame) -> DataFrame:
 
 def key_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, refs, cites, distinct_cites): comma-separated items of reference and citation commands."""
-    items = lambda p: F.filter(F.flatten(F.transform(T.find_all(F.col("text"), p, 1), lambda g: F.transform(F.split(g, ","), F.trim))), lambda k: k != "")
+    items = lambda p: F.filter(F.flatten(F.transform(T.find_all(F.col("text"), p, 1), lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k)))), lambda k: k != "")
     return docs.select("doc_id", F.size(items(P.REFERENCE)).alias("refs"), F.size(items(P.CITATION)).alias("cites"), F.size(F.array_distinct(items(P.CITATION))).alias("distinct_cites"))
 
 
@@ -79,7 +79,11 @@ def identity(docs: DataFrame, limit: int = 100) -> DataFrame:
         "camera_ready": distinct(T.find_all(both, P.CAMERA_READY)),
         "acknowledgment": F.when(acknowledged, F.array(F.lit("acknowledgments section"))).otherwise(F.array().cast("array<string>")),
     }
-    named = [F.transform(F.slice(found[k], 1, limit), lambda v, k=k: F.struct(F.lit(k).alias("category"), F.substring(v, 1, 300).alias("value"))) for k in IDENTITY]
+
+    def named_items(category: str) -> Column:
+        return F.transform(F.slice(found[category], 1, limit), lambda v: F.struct(F.lit(category).alias("category"), F.substring(v, 1, 300).alias("value")))
+
+    named = [named_items(k) for k in IDENTITY]
     capped = docs.select("doc_id", F.posexplode(F.slice(F.concat(*named), 1, T.positive(limit))).alias("k", "i"))
     return capped.select("doc_id", "i.category", (F.col("k") + 1).alias("rank"), "i.value")
 

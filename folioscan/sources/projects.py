@@ -165,7 +165,7 @@ def expanded(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
 def bibliographies(sources: DataFrame, listing: DataFrame) -> DataFrame:
     """(root, path, ord, status) from sources(root, path, text) and listing(root, path): named bibliography files, or
     without any bibliography command the project's first ones by path."""
-    named = sources.select("root", parent(F.col("path")).alias("base"), F.posexplode(F.flatten(F.transform(T.find_all(F.col("text"), P.BIBLIOGRAPHY, 1), lambda g: F.transform(F.split(g, ","), F.trim)))).alias("ord", "name")).where("name <> ''")
+    named = sources.select("root", parent(F.col("path")).alias("base"), F.posexplode(F.flatten(F.transform(T.find_all(F.col("text"), P.BIBLIOGRAPHY, 1), lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k))))).alias("ord", "name")).where("name <> ''")
     whole = normal_path(F.when(F.startswith("name", F.lit("/")), F.col("name")).otherwise(F.concat("base", F.lit("/"), "name")))
     bib = F.when(F.endswith("whole", F.lit(".bib")), F.col("whole")).otherwise(F.concat("whole", F.lit(".bib")))
     named = named.withColumn("whole", whole).withColumn("path", bib).join(listing.select("root", "path", F.lit(True).alias("found")), ["root", "path"], "left")
