@@ -50,8 +50,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    s = s.withColumn("level", level).withColumn("free", F.col("most") / F.col("w") >= F.col("level"))
-    settled = F.min(F.when(F.col("free"), F.struct(F.col("most") / F.col("w"), "level"))).over(Window.partitionBy(F.lit(0)))["level"]
+    s = s.withColumn("level", level).withColumn("place", F.row_number().over(order)).withColumn("free", F.col("most") / F.col("w") >= F.col("level"))
+    settled = F.min(F.when(F.col("free"), F.struct("place", "level"))).over(Window.partitionBy(F.lit(0)))["level"]
     target = F.least(F.col("most"), F.col("w") * F.coalesce(settled, F.lit(float("inf"))))
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 

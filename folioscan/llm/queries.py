@@ -87,9 +87,9 @@ keyed AS (SELECT doc_id, source, size, -ln(u) / weight AS key FROM sized),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
 ranked AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM src),
 capped AS (SELECT *, source_size * 3.0::DOUBLE AS most, sum(source_size) OVER () AS total FROM ranked),
-levels AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+levels AS (SELECT *, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS place, (total - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
-chosen AS (SELECT *, (SELECT min_by(level, most / w) FROM levels WHERE most / w >= level) AS lv FROM levels),
+chosen AS (SELECT *, (SELECT min_by(level, place) FROM levels WHERE most / w >= level) AS lv FROM levels),
 targets AS (SELECT source, source_size, least(most, w * coalesce(lv, 'inf'::DOUBLE)) AS target,
     CASE WHEN source_size > 0 THEN CAST(floor(least(most, w * coalesce(lv, 'inf'::DOUBLE)) / source_size) AS BIGINT) ELSE 0 END AS epochs FROM chosen),
 placed AS (SELECT k.doc_id, k.size, t.source_size, t.target, t.epochs,
