@@ -22,6 +22,9 @@ LG_K = 12
 #: Standard errors around the threshold in which the exact count decides.
 MARGIN_ERRORS = 4
 
+#: Parts over which the occurrences of one line are dealt in joins.
+SALTS = 32
+
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -46,14 +49,22 @@ def split_lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> Dat
     return out.select("id", "body", "pos", F.col("p.line").alias("line"), F.col("p.around").alias("around"), "site").where("line IS NOT NULL")
 
 
+def occurrences(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of lines whose hash is in chosen(line), distinct. A line that is a third of all rows is dealt over
+    SALTS tasks: chosen is small beside lines and is repeated for each of them."""
+    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)))
+    return dealt.join(salted, ["line", "salt"], "left_semi").drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_variety: float = MIN_VARIETY) -> DataFrame:
     """(line): hashes of the lines on at least min_sites sites whose neighbours vary."""
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = settle(sketches.select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites - margin(min_sites)), "spread")
     near = spread.where(F.col("estimate") <= min_sites + margin(min_sites)).select("line")
-    counted = lines.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    counted = occurrences(lines, near).groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
     wide = spread.where(F.col("estimate") > min_sites + margin(min_sites)).select("line").unionByName(counted)
-    variety = lines.join(wide, "line", "left_semi").groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("around").alias("arounds"))
+    variety = occurrences(lines, wide).groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("around").alias("arounds"))
     return variety.where(F.col("arounds") >= min_variety * F.col("n")).select("line")
 
 
@@ -63,15 +74,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Other lines stay as they were, blank ones included, joined by newlines in their order. Null text counts as empty
     and gives an empty kept_text; a null site is a site of its own. A text of boilerplate alone becomes empty; its row
     stays. Repeated rows are occurrences like any other and lose the same lines. An empty table gives an empty result.
-    Extra columns stay; kept_text and n_removed must not be among them (ValueError).
+    Extra columns stay; a kept_text or n_removed among them is replaced.
     """
-    if {"kept_text", "n_removed"} & set(df.columns):
-        raise ValueError("kept_text and n_removed are names of the result")
     lines = settle(split_lines(df, id_col, text_col, site_col), "lines")
-    gone = lines.join(boilerplate(lines, min_sites, min_variety), "line", "left_semi")
+    gone = occurrences(lines, boilerplate(lines, min_sites, min_variety))
     # at most as many places as the text has lines
     gone = gone.groupBy(F.col("id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("pos").alias("_gone"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_body")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return out.select(*[df[c] for c in df.columns], F.when(F.col("_gone").isNull(), text).otherwise(kept).alias("kept_text"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    text = F.coalesce(df[text_col], F.lit(""))
+    out = df.join(gone, df[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_body"]), "left")
+    places = gone["_gone"]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    stay = [df[c] for c in df.columns if c not in ("kept_text", "n_removed")]
+    return out.select(*stay, F.when(places.isNull(), text).otherwise(kept).alias("kept_text"), F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_removed"))
