@@ -79,7 +79,7 @@ def best_fit(sizes: list[int], bits: list[int], capacity: int) -> list[int]:
 
 def pack_shard(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Rows (id, row, size, source, cluster) of one shard to pieces (id, row, piece, start, size, source, bin)."""
-    frame = frame.sort_values(["size", "id", "row"], ascending=[False, True, True], kind="stable")
+    frame = frame.sort_values(["size", "row"], ascending=[False, True], kind="stable")
     # bits: sources first, then the clusters that occur more than once here (others cannot conflict)
     sources = {s: 1 << k for k, s in enumerate(sorted(frame["source"].unique()))}
     repeated = sorted(frame["cluster"][frame["cluster"].duplicated()].unique())
@@ -104,8 +104,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     column of df that names it, by default the hash of the text, so exact copies and repeated rows never share a bin.
     Documents longer than a bin are cut: whole bins of their own, and the rest is packed like any other; nothing is
     dropped. Texts without words take a bin's bits but no room. A null text is empty, a null source a source of its
-    own, a null id sorts in front. row_no tells repeated rows apart. Rows are packed in descending size, ties by id
-    and row_no. An empty table gives an empty result; extra columns are ignored.
+    own, a null id stays null. row_no tells repeated rows apart. Rows are packed in descending size, ties by row_no. An empty table gives an empty result; extra columns are ignored.
     """
     own = cluster if cluster is not None else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
@@ -116,8 +115,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(slim.dtypes)["id"]
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = pack_shard(frame.assign(id=frame["id"].astype("Int64") if kind in ("bigint", "int") else frame["id"]), capacity)
-        return out.assign(shard=key[0])
+        return pack_shard(frame, capacity).assign(shard=key[0])
 
-    packed = slim.groupBy("shard").applyInPandas(pack, f"id {kind}, row bigint, piece int, start bigint, size bigint, source string, bin bigint, shard bigint")
-    return packed.select((F.col("bin") * shards + F.col("shard")).alias("bin_id"), F.col("id").alias(id_col), F.col("row").alias("row_no"), "piece", "start", "size", F.when(F.col("source") != "n", F.substring("source", 2, 1 << 30)).alias(source_col))
+    # the identifier passes as text, so that neither size nor nulls change it
+    packed = slim.withColumn("id", F.col("id").cast("string")).groupBy("shard").applyInPandas(pack, "id string, row bigint, piece int, start bigint, size bigint, source string, bin bigint, shard bigint")
+    return packed.select((F.col("bin") * shards + F.col("shard")).alias("bin_id"), F.col("id").cast(kind).alias(id_col), F.col("row").alias("row_no"), "piece", "start", "size", F.when(F.col("source") != "n", F.substring("source", 2, 1 << 30)).alias(source_col))

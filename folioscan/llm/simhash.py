@@ -210,4 +210,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     groups = simhash_groups(df, id_col, text_col, words, limit, blocks)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
