@@ -14,7 +14,6 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,7 +144,6 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
 LEAST, MOST = 0.05, 3.0
 
 
-@cache
 def learned_weights() -> dict[str, float]:
     """Log-odds of every class by the labelled pages: positive for words, negative for links and tags. "<" stands for
     tags that no labelled page has."""
@@ -179,11 +177,10 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the page's main text joined by blank lines; empty if there is none."""
     if not page:
         return ""
-    weights = learned_weights()
     other = weights["<"]
     pieces = list(items(page))
     scores = []
@@ -222,11 +219,13 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     an empty result; extra columns are ignored.
     """
 
+    weights = learned_weights()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(page) for page in part.column(2).to_pylist()]
+                texts = [main_text(page, weights) for page in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

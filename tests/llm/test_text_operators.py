@@ -133,13 +133,20 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>"
 <aside>Related things that nobody wants to read here</aside><footer>&copy; us, all rights reserved, contact us</footer></body></html>"""
 
 
+WEIGHTS = html_text.learned_weights()
+
+
+def main_text(page):
+    return html_text.main_text(page, WEIGHTS)
+
+
 def test_main_text():
-    assert html_text.main_text(PAGE) == "Big & bold\n\nFirst paragraph with some words here.\n\nSecond one, longer than the first, goes on and on."
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav><a>x</a></nav>") == ""
-    assert html_text.main_text("just words") == "just words"
-    assert html_text.main_text("<p>" + "word " * 100000) == ("word " * 100000).strip()
+    assert main_text(PAGE) == "Big & bold\n\nFirst paragraph with some words here.\n\nSecond one, longer than the first, goes on and on."
+    assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
+    assert main_text("just words") == "just words"
+    assert main_text("<p>" + "word " * 100000) == ("word " * 100000).strip()
     for broken in ("<", "<p", "</div></p>text", "<!-- open", "<script>open", "<a><a><a>x y z w", "<div " * 50, "&#xZZ; &bogus; words here"):
-        html_text.main_text(broken)
+        main_text(broken)
 
 
 def test_weights_and_scan():
@@ -161,7 +168,7 @@ def test_labelled_pages_are_recovered():
     for page in html_text.labelled_pages(60, seed=99):
         body = page.split(html_text.BEGIN)[1].split(html_text.FINISH)[0]
         body = re.sub(r'<div class="promo">.*?</div>', " ", body)
-        want, got = words(re.sub(r"<[^>]+>", " ", body)), words(html_text.main_text(page))
+        want, got = words(re.sub(r"<[^>]+>", " ", body)), words(main_text(page))
         hits += sum((want & got).values())
         total += sum(want.values())
         wrong += sum((got - want).values())
@@ -171,7 +178,7 @@ def test_labelled_pages_are_recovered():
 def test_extract_pages_awkward(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, None), (2, "v", "", 0)], "page_id long, url string, html string, n_chars long")
     rows = html_text.extract_pages(pages).collect()
-    assert [r.n_chars for r in rows] == [len(html_text.main_text(PAGE))] * 2 + [0, 0] and rows[2].text == ""
+    assert [r.n_chars for r in rows] == [len(main_text(PAGE))] * 2 + [0, 0] and rows[2].text == ""
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
