@@ -25,7 +25,7 @@ TRAIN_VECTORS = 16384
 LIST_SIZE = 512
 MAX_LISTS = TRAIN_VECTORS // 8
 #: Share of the lists that a query scans, and the fewest.
-PROBE_SHARE = 0.5
+PROBE_SHARE = 0.7
 MIN_PROBES = 24
 #: Rows of a list that meet in one task; a longer list is dealt over several blocks.
 BLOCK_ROWS = 2048
