@@ -30,7 +30,7 @@ _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _MARKS = b"#$%&*@^~<>{}[]\\/=+_`"
-OWN = ("bias", "length", "upper", "digits", "marks", "bars", "shouts", "repeats", "sameness", "few_words", "seen", "word_length", "sentence_end")
+OWN = ("bias", "length", "upper", "digits", "marks", "bars", "shouts", "repeats", "sameness", "few_words", "seen", "word_length", "sentence_end", "repetitive", "monotone")
 #: Of the neighbours, before and after.
 NEAR = ("upper", "marks", "bars", "shouts", "repeats", "sameness")
 WIDTH = len(OWN) + 2 * len(NEAR)
@@ -51,7 +51,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         marks = n - len(line.translate(None, _MARKS))
         repeats = sum(map(eq, words, words[1:])) / k
         sameness = 1 - len(set(words)) / k if k > 7 else 0.0
-        rows.append((1.0, min(np.log1p(n), 10.0) / 10, upper / max(letters, 1), digits / n, 5 * marks / n, 10 * line.count(b"|") / n, 10 * line.count(b"!") / n, repeats, sameness, float(k < 3), float(line in seen), min(n / k, 40) / 40, float(line[-1:] in b".!?")))
+        rows.append((1.0, min(np.log1p(n), 10.0) / 10, upper / max(letters, 1), digits / n, 5 * marks / n, 10 * line.count(b"|") / n, 10 * line.count(b"!") / n, repeats, sameness, float(k < 3), float(line in seen), min(n / k, 40) / 40, float(line[-1:] in b".!?"), float(repeats > 0.3), float(sameness > 0.6)))
         lengths.append(n)
         seen.add(line)
     if not rows:
