@@ -9,10 +9,16 @@
    are verified by their differing bits. A fingerprint is compared only with those it is not yet linked to, and a
    link is emitted only if it joins two parts: a key of g near copies emits g - 1 links, not all pairs.
 4. Links contract to components over shuffles (connected_components).
+
+64 bits cannot tell a shingle similarity of 0.8: such pairs differ in some 4 to 16 bits, more than agreeing blocks can
+search. Where a similarity is asked for, every text also gets a fingerprint of WIDE bits, whose differing share
+follows the angle between the shingle sets closely, and meets others on keys of its smallest shingle hashes, because
+no exact search over 350 of 2,048 bits is affordable. Within a key, 3. holds as before, on the wide fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,29 +40,83 @@ LARGE_RUN = 2048
 #: Rows of a batch between the sorted scan and its links.
 BATCH = 1 << 16
 
-_REFERENCES = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 0) for i in range(PIVOTS)], dtype=np.uint64)
+#: Bits of the wide fingerprint, and the standard errors by which its limit exceeds the mean at the similarity.
+WIDE = 2048
+WIDE_ERRORS = 2.5
+#: Keys of the wide search, and smallest hashes in one: at 0.8 all keys miss 2 pairs of 1,000.
+BANDS, ROWS = 16, 5
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The text's fingerprint as an unsigned integer: A-Z lower-cased, ASCII white space splits words, a bit is set if
-    it is set in over half of the shingles' XXH64. Fewer words than a shingle are one shingle, none give 0."""
+def _made(label: str, n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{label} {i}", 0) for i in range(n)], dtype=np.uint64)
+
+
+_REFERENCES = _made("pivot", PIVOTS)[:, None]
+_WIDE_REFERENCES = _made("wide pivot", PIVOTS * (WIDE // BITS)).reshape(PIVOTS, -1)
+_SHIFTS = _made("shift", WIDE // BITS)
+_FACTORS = _made("factor", BANDS * ROWS) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles in order, in chunks: A-Z lower-cased, ASCII white space splits words. Fewer words
+    than a shingle are one shingle, none give nothing."""
     tokens = text.encode("utf-8").lower().split() if text else []
     if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    words = min(words, len(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1]
     stops = ends[words - 1 :] - 1
-    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, CHUNK):
+    for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), stops[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of hashes (rows, words) set each bit."""
+    total, octets = np.zeros(hashes.shape[1] * BITS, np.int64), np.ascontiguousarray(hashes).view(np.uint8)
+    for at in range(0, len(octets), 255):  # so many fit the sums of one octet
+        total += np.add.reduce(np.unpackbits(octets[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return total
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The text's fingerprint as an unsigned integer: a bit is set if it is set in over half of the shingles' hashes;
+    0 without words."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        votes += _votes(hashes[:, None])
+        n += len(hashes)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def wide_sketch(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
+    """(fingerprint, wide fingerprint, keys): the text's fingerprint, WIDE bits made the same way from mixed hashes, and
+    BANDS keys of ROWS smallest hashes each. A text without words has zeros."""
+    votes, wide, n = np.zeros(BITS, np.int64), np.zeros(WIDE, np.int64), 0
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in shingle_hashes(text, words, seed):
+        votes += _votes(hashes[:, None])
+        for at in range(0, len(hashes), 2040):
+            z = hashes[at : at + 2040, None] ^ _SHIFTS
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wide += _votes(z ^ (z >> np.uint64(31)))
+        for k, factor in enumerate(_FACTORS):
+            least[k] = min(least[k], (hashes * factor).min())
+        n += len(hashes)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), 0) for row in least.reshape(BANDS, ROWS)] if n else [0] * BANDS
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]), np.packbits(wide * 2 > n, bitorder="little").tobytes(), np.array(keys, np.uint64).view(np.int64)
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits of the wide fingerprint up to which texts of that similarity (shared among all shingles) are
+    found: the angle of sets of equal size, which is the widest, and WIDE_ERRORS standard errors."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * share + WIDE_ERRORS * math.sqrt(WIDE * share * (1 - share)))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp): one row per row of df, fp the fingerprint's 64 bits as BIGINT. Null text counts as empty."""
 
@@ -71,6 +131,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, fp bigint")
 
 
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, fp, wide, keys): fingerprints() with the wide fingerprint and its keys."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fps, wide, keys = zip(*[wide_sketch(t, words) for t in part.column(1).to_pylist()], strict=True)
+                fps = np.array(fps, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array(wide, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "wide", "keys"])
+
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, fp bigint, wide binary, keys array<bigint>")
+
+
 def block_masks(blocks: int) -> list[int]:
     """Masks of `blocks` runs of bits that cover the fingerprint, as even as can be."""
     edges = [i * BITS // blocks for i in range(blocks + 1)]
@@ -101,18 +176,24 @@ class _Parts:
         return new
 
 
-def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out: list) -> None:
-    """Link the rows `where` of one key by pivot filter and verification."""
-    own = fps[where]
-    table = np.bitwise_count(own[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose words are the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out: list, wide: np.ndarray | None = None) -> None:
+    """Link the rows `where` of one key by pivot filter and verification, on the wide fingerprints where given."""
+    own, references = (fps[:, None], _REFERENCES) if wide is None else (wide, _WIDE_REFERENCES)
+    own = own[where]
+    table = np.column_stack([_differ(own, r) for r in references])
     for k in range(len(own) - 1):
         rest = np.nonzero(parts.root[where] != parts.root[where[k]])[0]
         if not len(rest):
             return
         rest = rest[np.abs(table[rest] - table[k]).max(axis=1) <= limit]
-        rest = rest[np.bitwise_count(own[rest] ^ own[k]) <= limit]
+        rest = rest[_differ(own[rest], own[k]) <= limit]
         if len(rest):
-            out.extend((own[k], fps[j]) for j in parts.join(int(where[k]), where[rest]))
+            out.extend((fps[where[k]], fps[j]) for j in parts.join(int(where[k]), where[rest]))
 
 
 def link_run(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -131,46 +212,70 @@ def link_run(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def _link_sorted(limit: int):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b"]
+def _whole_runs(batches: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first two, cut anew so that no run of equal keys is divided."""
+    held: list[list[np.ndarray]] = []
+    for new in batches:
+        if not len(new[0]):
+            continue
+        if held and new[0][-1] == held[-1][0][-1] and new[1][-1] == held[-1][1][-1]:
+            held.append(new)  # the whole batch may continue the run that is held
+            continue
+        full = [np.concatenate(c) for c in zip(*held, new, strict=True)]
+        other = np.nonzero((full[0] != full[0][-1]) | (full[1] != full[1][-1]))[0]
+        cut = int(other[-1]) + 1 if len(other) else 0
+        held = [[c[cut:] for c in full]]
+        if cut:
+            yield [c[:cut] for c in full]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
 
-        def emit(pairs: list) -> pa.RecordBatch:
-            got = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=names)
+def _run_starts(no: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start, and the end of the last."""
+    return np.concatenate(([0], np.nonzero((np.diff(key) != 0) | (np.diff(no) != 0))[0] + 1, [len(key)]))
 
-        def links(table: np.ndarray, key: np.ndarray, fps: np.ndarray) -> list:
-            starts = np.concatenate(([0], np.nonzero((np.diff(key) != 0) | (np.diff(table) != 0))[0] + 1, [len(key)]))
+
+def _emit(pairs: list) -> pa.RecordBatch:
+    got = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+
+
+def _link_sorted(limit: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = ([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)
+        for no, key, fps in _whole_runs(plain):
+            fps, starts = fps.view(np.uint64), _run_starts(no, key)
             sizes = np.diff(starts)
             twos = starts[:-1][sizes == 2]
             a, b = fps[twos], fps[twos + 1]
             near = np.ones(len(a), bool)
-            for ref in _REFERENCES:
+            for ref in _REFERENCES[:, 0]:
                 near &= np.abs(np.bitwise_count(a ^ ref).astype(np.int8) - np.bitwise_count(b ^ ref).astype(np.int8)) <= limit
             a, b = a[near], b[near]
             near = np.bitwise_count(a ^ b) <= limit
             out = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
             for at in np.nonzero(sizes > 2)[0].tolist():
                 out += link_run(fps[starts[at] : starts[at + 1]], limit)
-            return out
+            if out:
+                yield _emit(out)
 
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)]
-        waiting = []
-        for batch in batches:
-            new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
-            waiting.append(new)
-            last = len(new[0]) - 1
-            if last < 0 or (len(held[0]) and new[0][last] == held[0][-1] and new[1][last] == held[1][-1]):
-                continue  # the whole batch may continue the run that is held
-            full = [np.concatenate([held[i], *[w[i] for w in waiting]]) for i in range(3)]
-            waiting = []
-            cut = int(np.nonzero((full[1] != full[1][-1]) | (full[0] != full[0][-1]))[0][-1]) + 1 if (full[1][0] != full[1][-1] or full[0][0] != full[0][-1]) else 0
-            held = [x[cut:] for x in full]
-            if cut and (pairs := links(full[0][:cut], full[1][:cut], full[2][:cut])):
-                yield emit(pairs)
-        full = [np.concatenate([held[i], *[w[i] for w in waiting]]) for i in range(3)]
-        if len(full[0]) and (pairs := links(*full)):
-            yield emit(pairs)
+    return link
+
+
+def _link_wide(limit: int):
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        no, key, fps = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        return [no, key, fps, np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(len(no), -1)]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for no, key, fps, wide in _whole_runs(columns(b) for b in batches if b.num_rows):
+            fps, starts, out = fps.view(np.uint64), _run_starts(no, key), []
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                if b - a > 1:
+                    _compare(fps[a:b], np.arange(b - a), _Parts(b - a), limit, out, wide[a:b])
+            if out:
+                yield _emit(out)
 
     return link
 
@@ -185,29 +290,45 @@ def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame
     return dealt.mapInArrow(_link_sorted(limit), "a bigint, b bigint").distinct()
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, blocks: int = 6) -> DataFrame:
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between fingerprints fp of classes(fp, wide, keys) whose wide fingerprints differ in at most
+    wide_limit(similarity) bits, among those that share a key."""
+    dealt = classes.select("fp", "wide", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "fp", "wide")
+    dealt = dealt.repartition("no", "key").sortWithinPartitions("no", "key", "fp")
+    return dealt.mapInArrow(_link_wide(wide_limit(similarity)), "a bigint, b bigint").distinct()
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, blocks: int = 6, similarity: float | None = None) -> DataFrame:
     """One row per row of df: (id, fp, component_id), component_id the smallest id of the group.
 
     Groups are connected by pairs of fingerprints that differ in at most `limit` bits; equal fingerprints are one
-    class. Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Rows that
+    class. With a similarity, texts whose wide fingerprints tell at least that share of common shingles link too; a
+    class is compared by one of its wide fingerprints. Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Rows that
     repeat an id get a row each. A null id takes part and belongs to its group, but names a group only where it has
     no other id. An empty table gives an empty result; extra columns are ignored.
     """
-    prints = settle(fingerprints(df, id_col, text_col, words), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    classes = settle(classes, "classes")
-    nodes = connected_components(near_links(classes, limit, blocks))
+    if similarity is None:
+        prints = settle(fingerprints(df, id_col, text_col, words), "prints")
+        classes = settle(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+        links = near_links(classes, limit, blocks)
+    else:
+        prints = settle(wide_fingerprints(df, id_col, text_col, words), "prints")
+        one = F.min(F.struct("wide", "keys"))
+        classes = settle(prints.groupBy("fp").agg(F.min("id").alias("first_id"), one.alias("one")).select("fp", "first_id", "one.*"), "classes")
+        links = near_links(classes, limit, blocks).unionByName(similar_links(classes, similarity))
+        prints, classes = prints.select("id", "fp"), classes.select("fp", "first_id")
+    nodes = connected_components(links)
     linked = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(roots, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 4, blocks: int = 6) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 4, blocks: int = 6, similarity: float | None = 0.8) -> DataFrame:
     """df without the documents whose group has a smaller id; all columns stay.
 
     Rows that repeat an id are one document and stay or go together; rows with a null id stay.
     """
-    groups = simhash_groups(df, id_col, text_col, words, limit, blocks)
+    groups = simhash_groups(df, id_col, text_col, words, limit, blocks, similarity)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

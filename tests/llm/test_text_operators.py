@@ -115,6 +115,43 @@ def test_simhash_awkward(spark):
     assert simhash.drop_near_copies(awkward(spark, empty=True)).count() == 0
 
 
+def similar_texts():
+    """Texts of 40 to 400 words with word edits of several rates, and texts that share nothing."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(40 + 6 * k)]
+        texts.append(" ".join(base))
+        for rate in (0.01, 0.02, 0.1, 0.5)[: k % 5]:
+            texts.append(" ".join(word() if r.random() < rate else w for w in base))
+    return texts
+
+
+def test_similarity_against_brute_force(spark):
+    texts = similar_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, words=5, similarity=0.8).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    sure = [p for p, j in alike.items() if j >= 0.8]
+    assert len(sure) > 30 and all(got[a] == got[b] for a, b in sure)
+    # every member of a group is at least close to another one, and most texts stay alone or with their own base
+    for k, c in got.items():
+        others = [o for o in got if o != k and got[o] == c]
+        assert not others or max(alike[max(k, o), min(k, o)] for o in others) >= 0.68
+
+
+def test_wide_sketch_by_hand():
+    text = "One two three four five six seven one two"
+    fp, wide, keys = simhash.wide_sketch(text)
+    assert fp == simhash.fingerprint(text, 5) and len(wide) == simhash.WIDE // 8 and len(keys) == simhash.BANDS
+    assert wide == simhash.wide_sketch(text.upper())[1] != simhash.wide_sketch(text + " x")[1]
+    assert simhash.wide_sketch(None)[:2] == simhash.wide_sketch(" \n")[:2] == (0, bytes(simhash.WIDE // 8))
+    long = " ".join(f"w{k % 50_021}" for k in range(80_000))
+    assert simhash.wide_sketch(long)[0] == simhash.fingerprint(long, 5)
+
+
 def test_every_close_pair_shares_a_key():
     masks = simhash.key_masks(4, 6)
     assert len(masks) == 15
