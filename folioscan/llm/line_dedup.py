@@ -2,8 +2,9 @@
 
 Every line's hash gathers a HyperLogLog sketch of the sites it occurs on; sketches merge in the aggregation, so a line
 on millions of pages moves as one small sketch per task. Lines whose estimate is near the threshold get an exact
-distinct count. A line that spreads over enough sites is boilerplate if its neighbours vary: a passage that only
-travels with copies of one document has the same lines around it everywhere and is left to document dedup.
+distinct count. A line that spreads over enough sites is boilerplate, whatever stands beside it and however often it
+occurs. Only a line that every one of its documents holds in the very same text stays: exact copies are left to
+document dedup.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from folioscan.llm.common import settle
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
-#: Distinct pairs of neighbouring lines per occurrence from which a line's neighbours vary.
+#: The share of the query's SQL, which still asks for varied neighbours; here only whether it is 0 counts.
 MIN_VARIETY = 0.5
 #: log2 of the sketch's registers; its standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -39,14 +40,13 @@ def normal_line(line: Column) -> Column:
 
 
 def split_lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, body, pos, line, around, site): every non-blank line's hash, its place, and the hash of its neighbours.
+    """(id, body, pos, line, site): every non-blank line's hash and its place.
     body is the hash of the whole text: with id it names a row, or several equal ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.xxhash64(F.coalesce(F.col(site_col), F.lit(""))).alias("site"), F.transform(F.split(text, "\n"), normal_line).alias("lines"))
-    beside = lambda at: F.coalesce(F.get("lines", at), F.lit("\n"))
-    parts = F.transform("lines", lambda x, i: F.struct(F.when(x != "", F.xxhash64(x)).alias("line"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("around")))
-    out = rows.select("id", "body", "site", F.posexplode(parts).alias("pos", "p"))
-    return out.select("id", "body", "pos", F.col("p.line").alias("line"), F.col("p.around").alias("around"), "site").where("line IS NOT NULL")
+    parts = F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x)))
+    out = rows.select("id", "body", "site", F.posexplode(parts).alias("pos", "line"))
+    return out.select("id", "body", "pos", "line", "site").where("line IS NOT NULL")
 
 
 def occurrences(lines: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -58,19 +58,23 @@ def occurrences(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_variety: float = MIN_VARIETY) -> DataFrame:
-    """(line): hashes of the lines on at least min_sites sites whose neighbours vary."""
+    """(line): hashes of the lines on at least min_sites sites, in two different texts or more unless min_variety is 0."""
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = settle(sketches.select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites - margin(min_sites)), "spread")
     near = spread.where(F.col("estimate") <= min_sites + margin(min_sites)).select("line")
     counted = occurrences(lines, near).groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
     wide = spread.where(F.col("estimate") > min_sites + margin(min_sites)).select("line").unionByName(counted)
-    variety = occurrences(lines, wide).groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("around").alias("arounds"))
-    return variety.where(F.col("arounds") >= min_variety * F.col("n")).select("line")
+    if not min_variety:
+        return wide
+    # least and greatest tell whether there is a second text, in one row a task
+    texts = occurrences(lines, wide).groupBy("line").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    return texts.where("least <> most").select("line")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_variety: float = MIN_VARIETY) -> DataFrame:
     """df with two more columns: kept_text, the text without its boilerplate lines, and n_removed.
 
+    With a min_variety of 0 the sites alone decide, also on lines that only one text holds.
     Other lines stay as they were, blank ones included, joined by newlines in their order. Null text counts as empty
     and gives an empty kept_text; a null site is a site of its own. A text of boilerplate alone becomes empty; its row
     stays. Repeated rows are occurrences like any other and lose the same lines. An empty table gives an empty result.

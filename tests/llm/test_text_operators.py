@@ -287,6 +287,15 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(ten).collect()}[204] == 1
 
 
+def test_line_dedup_by_sites_whatever_the_neighbours(spark):
+    block = "notice one\nnotice two\nnotice three\nnotice four"
+    rows = [(k, f"own {k}\n\napart\n\n{block}\n\nend {k}\nskewed", f"s{k}") for k in range(12)]
+    rows += [(100 + k, "copy\nskewed\nof one", f"s{k}") for k in range(300)]
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k] == (f"own {k}\n\n\n\nend {k}", 6) for k in range(12))
+    assert all(got[100 + k] == ("copy\nof one", 1) for k in range(300))
+
+
 def test_line_dedup_wide_spread_uses_sketches(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.col("id").cast("string"), F.lit("\nevery site\nb "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("site"), F.col("id").cast("string")).alias("source"))
     rows = line_dedup.dedup_lines(docs).collect()
