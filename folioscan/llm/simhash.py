@@ -11,9 +11,10 @@
 4. Links contract to components over shuffles (connected_components).
 
 64 bits cannot tell a shingle similarity of 0.8: such pairs differ in some 4 to 16 bits, more than agreeing blocks can
-search. Where a similarity is asked for, every text also gets a fingerprint of WIDE bits, whose differing share
-follows the angle between the shingle sets closely, and meets others on keys of its smallest shingle hashes, because
-no exact search over 350 of 2,048 bits is affordable. Within a key, 3. holds as before, on the wide fingerprints.
+search, and repeats of one passage sway them. Where a similarity is asked for, it is that of the sets of shingles, and
+64 bits play no part: equal sets are one class, classes that share a key of smallest shingle hashes are candidates, and
+a candidate pair is linked only if its sets, compared in full, reach the similarity. Before that the pivot table and a
+fingerprint of WIDE bits, whose differing share follows the angle between large sets closely, discard pairs.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ BATCH = 1 << 16
 #: Bits of the wide fingerprint, and the standard errors by which its limit exceeds the mean at the similarity.
 WIDE = 2048
 WIDE_ERRORS = 2.5
-#: Keys of the wide search, and smallest hashes in one: at 0.8 all keys miss 2 pairs of 1,000.
+#: Shingles from which a set's wide fingerprint follows the angle; pairs with a smaller set are not discarded by it.
+WIDE_LEAST = 128
+#: Keys of the search by similarity, and smallest hashes in one: at 0.8 all keys miss 2 pairs of 1,000.
 BANDS, ROWS = 16, 5
+#: Classes up to which those connected by keys are compared in one place; more are compared key by key.
+LARGE_GROUP = 256
 
 
 def _made(label: str, n: int) -> np.ndarray:
@@ -91,23 +96,32 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def wide_sketch(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
-    """(fingerprint, wide fingerprint, keys): the text's fingerprint, WIDE bits made the same way from mixed hashes, and
-    BANDS keys of ROWS smallest hashes each. A text without words has zeros."""
+def _sketch(text: str | None, words: int, seed: int = 42) -> tuple[int, bytes, np.ndarray, np.ndarray]:
+    """wide_sketch() and the sorted set of shingle hashes. Only the 64-bit fingerprint counts repeats."""
     votes, wide, n = np.zeros(BITS, np.int64), np.zeros(WIDE, np.int64), 0
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least, parts = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), [np.zeros(0, np.uint64)]
     for hashes in shingle_hashes(text, words, seed):
         votes += _votes(hashes[:, None])
-        for at in range(0, len(hashes), 2040):
-            z = hashes[at : at + 2040, None] ^ _SHIFTS
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            wide += _votes(z ^ (z >> np.uint64(31)))
-        for k, factor in enumerate(_FACTORS):
-            least[k] = min(least[k], (hashes * factor).min())
         n += len(hashes)
+        parts.append(np.unique(hashes))
+    once = np.unique(np.concatenate(parts))
+    for at in range(0, len(once), 2040):
+        z = once[at : at + 2040, None] ^ _SHIFTS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        wide += _votes(z ^ (z >> np.uint64(31)))
+    if n:
+        for k, factor in enumerate(_FACTORS):
+            least[k] = (once * factor).min()
     keys = [xxhash.xxh64_intdigest(row.tobytes(), 0) for row in least.reshape(BANDS, ROWS)] if n else [0] * BANDS
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]), np.packbits(wide * 2 > n, bitorder="little").tobytes(), np.array(keys, np.uint64).view(np.int64)
+    bits = lambda v, size: np.packbits(v * 2 > size, bitorder="little")
+    return int(bits(votes, n).view("<u8")[0]), bits(wide, len(once)).tobytes(), np.array(keys, np.uint64).view(np.int64), once
+
+
+def wide_sketch(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
+    """(fingerprint, wide fingerprint, keys): the text's fingerprint, WIDE bits made the same way from mixed hashes of
+    its distinct shingles, and BANDS keys of ROWS smallest hashes each. A text without words has zeros."""
+    return _sketch(text, words, seed)[:3]
 
 
 def wide_limit(similarity: float) -> int:
@@ -132,18 +146,20 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, fp, wide, keys): fingerprints() with the wide fingerprint and its keys."""
+    """(id, fp, class, wide, keys, shingles): fingerprints() with the hash of the set of shingles, its wide fingerprint
+    and keys, and the set itself as sorted hashes of eight octets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps, wide, keys = zip(*[wide_sketch(t, words) for t in part.column(1).to_pylist()], strict=True)
-                fps = np.array(fps, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array(wide, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "wide", "keys"])
+                fps, wide, keys, sets = zip(*[_sketch(t, words) for t in part.column(1).to_pylist()], strict=True)
+                sets = [s.tobytes() for s in sets]
+                signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(fps), signed([xxhash.xxh3_64_intdigest(s) for s in sets]), pa.array(wide, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["id", "fp", "class", "wide", "keys", "shingles"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, fp bigint, wide binary, keys array<bigint>")
+    return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, fp bigint, class bigint, wide binary, keys array<bigint>, shingles binary")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -181,11 +197,10 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out: list, wide: np.ndarray | None = None) -> None:
-    """Link the rows `where` of one key by pivot filter and verification, on the wide fingerprints where given."""
-    own, references = (fps[:, None], _REFERENCES) if wide is None else (wide, _WIDE_REFERENCES)
-    own = own[where]
-    table = np.column_stack([_differ(own, r) for r in references])
+def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out: list) -> None:
+    """Link the rows `where` of one key by pivot filter and verification."""
+    own = fps[where, None]
+    table = np.column_stack([_differ(own, r) for r in _REFERENCES])
     for k in range(len(own) - 1):
         rest = np.nonzero(parts.root[where] != parts.root[where[k]])[0]
         if not len(rest):
@@ -196,6 +211,35 @@ def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out:
             out.extend((fps[where[k]], fps[j]) for j in parts.join(int(where[k]), where[rest]))
 
 
+def link_sets(classes: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all of classes that are connected by pairs whose sets have at least the similarity."""
+    parts, out, limit = _Parts(len(sets)), [], wide_limit(similarity)
+    sizes = np.array([len(s) for s in sets])
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    mark = np.zeros(codes.max(initial=0) + 1, bool)
+    table = np.column_stack([_differ(wide, r) for r in _WIDE_REFERENCES])
+    small = sizes < WIDE_LEAST
+    for k in range(len(sets) - 1):
+        rest = np.nonzero(parts.root != parts.root[k])[0]
+        if not len(rest):
+            break
+        rest = rest[np.minimum(sizes[rest], sizes[k]) >= similarity * np.maximum(sizes[rest], sizes[k]) - 1e-9]
+        if not small[k]:
+            rest = rest[small[rest] | (np.abs(table[rest] - table[k]).max(axis=1) <= limit)]
+            rest = rest[small[rest] | (_differ(wide[rest], wide[k]) <= limit)]
+        if not len(rest):
+            continue
+        mark[codes[starts[k] : stops[k]]] = True
+        common = np.array([np.count_nonzero(mark[codes[starts[j] : stops[j]]]) for j in rest])
+        mark[codes[starts[k] : stops[k]]] = False
+        rest = rest[common >= similarity * (sizes[rest] + sizes[k] - common) - 1e-9]
+        if len(rest):
+            out.extend((classes[k], classes[j]) for j in parts.join(k, rest))
+    return out
+
+
 def link_run(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links that join all of fps (distinct, one key) that are connected by pairs within `limit` bits."""
     parts, out = _Parts(len(fps)), []
@@ -263,17 +307,27 @@ def _link_sorted(limit: int):
     return link
 
 
-def _link_wide(limit: int):
+def _share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (no, key, class) whose key others have too, with the first class of the key."""
+    for no, key, classes in _whole_runs([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches):
+        starts = _run_starts(no, key)
+        sizes = np.diff(starts)
+        first, many = np.repeat(classes[starts[:-1]], sizes), np.repeat(sizes > 1, sizes)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (no, key, classes, first)], names=["no", "key", "class", "first"])
+
+
+def _link_sets(similarity: float):
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        no, key, fps = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        return [no, key, fps, np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(len(no), -1)]
+        no, key, classes, sets = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+        return [no, key, classes, np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(len(no), -1), sets]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for no, key, fps, wide in _whole_runs(columns(b) for b in batches if b.num_rows):
-            fps, starts, out = fps.view(np.uint64), _run_starts(no, key), []
+        for no, key, classes, wide, sets in _whole_runs(columns(b) for b in batches if b.num_rows):
+            classes, starts, out = classes.view(np.uint64), _run_starts(no, key), []
             for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
                 if b - a > 1:
-                    _compare(fps[a:b], np.arange(b - a), _Parts(b - a), limit, out, wide[a:b])
+                    out += link_sets(classes[a:b], wide[a:b], [np.frombuffer(s, "<u8") for s in sets[a:b]], similarity)
             if out:
                 yield _emit(out)
 
@@ -290,38 +344,47 @@ def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame
     return dealt.mapInArrow(_link_sorted(limit), "a bigint, b bigint").distinct()
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between fingerprints fp of classes(fp, wide, keys) whose wide fingerprints differ in at most
-    wide_limit(similarity) bits, among those that share a key."""
-    dealt = classes.select("fp", "wide", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "fp", "wide")
-    dealt = dealt.repartition("no", "key").sortWithinPartitions("no", "key", "fp")
-    return dealt.mapInArrow(_link_wide(wide_limit(similarity)), "a bigint, b bigint").distinct()
+def similar_links(prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join every group of classes(class, keys) connected by pairs that share a key and whose sets
+    of shingles, told by prints, have at least the similarity."""
+    dealt = classes.select("class", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "class")
+    dealt = dealt.repartition("no", "key").sortWithinPartitions("no", "key", "class")
+    shared = settle(dealt.mapInArrow(_share_keys, "no bigint, key bigint, class bigint, first bigint"), "shared")
+    found = settle(connected_components(shared.select(F.col("first").alias("a"), F.col("class").alias("b"))), "found")
+    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+    found = found.withColumnRenamed("node", "class").join(sizes, "root")
+    together = found.where(F.col("n") <= LARGE_GROUP).select(F.lit(-1).cast("bigint").alias("no"), F.col("root").alias("key"), "class")
+    by_key = shared.join(found.where(F.col("n") > LARGE_GROUP).select("class"), "class", "left_semi").select("no", "key", "class")
+    sets = prints.join(found.select("class"), "class", "left_semi").groupBy("class").agg(F.first("wide").alias("wide"), F.first("shingles").alias("shingles"))
+    runs = together.unionByName(by_key).join(sets, "class").select("no", "key", "class", "wide", "shingles")
+    runs = runs.repartition("no", "key").sortWithinPartitions("no", "key", "class")
+    return runs.mapInArrow(_link_sets(similarity), "a bigint, b bigint").distinct()
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, blocks: int = 6, similarity: float | None = None) -> DataFrame:
     """One row per row of df: (id, fp, component_id), component_id the smallest id of the group.
 
     Groups are connected by pairs of fingerprints that differ in at most `limit` bits; equal fingerprints are one
-    class. With a similarity, texts whose wide fingerprints tell at least that share of common shingles link too; a
-    class is compared by one of its wide fingerprints. Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Rows that
+    class. With a similarity, groups are connected by pairs of texts with at least that share of common shingles among
+    all of both instead, repeats not counted; limit and blocks have no part then. Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Rows that
     repeat an id get a row each. A null id takes part and belongs to its group, but names a group only where it has
     no other id. An empty table gives an empty result; extra columns are ignored.
     """
     if similarity is None:
         prints = settle(fingerprints(df, id_col, text_col, words), "prints")
+        by = "fp"
         classes = settle(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
         links = near_links(classes, limit, blocks)
     else:
-        prints = settle(wide_fingerprints(df, id_col, text_col, words), "prints")
-        one = F.min(F.struct("wide", "keys"))
-        classes = settle(prints.groupBy("fp").agg(F.min("id").alias("first_id"), one.alias("one")).select("fp", "first_id", "one.*"), "classes")
-        links = near_links(classes, limit, blocks).unionByName(similar_links(classes, similarity))
-        prints, classes = prints.select("id", "fp"), classes.select("fp", "first_id")
+        prints, by = settle(wide_fingerprints(df, id_col, text_col, words), "prints"), "class"
+        classes = settle(prints.groupBy("class").agg(F.min("id").alias("first_id"), F.first("keys").alias("keys")), "classes")
+        links = similar_links(prints, classes, similarity)
+        prints, classes = prints.select("id", "fp", "class"), classes.select("class", "first_id")
     nodes = connected_components(links)
-    linked = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = classes.join(nodes.withColumnRenamed("node", by), by, "left").withColumn("root", F.coalesce("root", by))
     roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = linked.join(roots, "root").select(by, "component_id")
+    return prints.join(named, by).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 4, blocks: int = 6, similarity: float | None = 0.8) -> DataFrame:

@@ -142,6 +142,24 @@ def test_similarity_against_brute_force(spark):
         assert not others or max(alike[max(k, o), min(k, o)] for o in others) >= 0.68
 
 
+def test_similarity_is_that_of_sets_and_exact(spark):
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, line, few = say(404), say(12), say(8)
+    texts = {1: a, 2: a + a[100:154] * 5, 3: line * 60 + say(40), 4: line * 60 + say(40), 5: few, 6: few + say(1)}
+    for k in range(40):  # pairs whose sets have 0.74 to 0.78 in common stay apart
+        base = say(300)
+        texts |= {100 + 2 * k: base, 101 + 2 * k: base[: 262 - k % 5] + say(38 + k % 5)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.simhash_groups(docs, words=5, similarity=0.8).collect()}
+    assert got == {k: {2: 1, 6: 5}.get(k, k) for k in texts}
+
+
+def test_large_groups_by_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 1)
+    test_similarity_against_brute_force(spark)
+
+
 def test_wide_sketch_by_hand():
     text = "One two three four five six seven one two"
     fp, wide, keys = simhash.wide_sketch(text)
