@@ -43,11 +43,11 @@ BATCH = 1 << 16
 
 #: Bits of the wide fingerprint, and the standard errors by which its limit exceeds the mean at the similarity.
 WIDE = 2048
-WIDE_ERRORS = 2.5
+WIDE_ERRORS = 5
 #: Shingles from which a set's wide fingerprint follows the angle; pairs with a smaller set are not discarded by it.
 WIDE_LEAST = 128
-#: Keys of the search by similarity, and smallest hashes in one: at 0.8 all keys miss 2 pairs of 1,000.
-BANDS, ROWS = 16, 5
+#: Keys of the search by similarity, and smallest hashes in one: at 0.8 all keys miss 3 pairs of 1,000,000.
+BANDS, ROWS = 32, 5
 #: Classes up to which those connected by keys are compared in one place; more are compared key by key.
 LARGE_GROUP = 256
 
