@@ -37,6 +37,11 @@ FURNITURE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer foot topbar toolbar masthead share sharing social comment comments commentlist disqus "
     "reply replies respond discussion login search searchbox pagination pager copyright contentinfo complementary form skip".split()
 )
+#: Furniture words that are also topics: they tell nothing as the id of a part of an article, or on an element of its text.
+TOPICS = frozenset("discussion search notice notices related recommended recommendations social login copyright cookie cookies consent form side foot menu menus alert promotion subscription map signup respond overlay banner footer aside".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre code blockquote figure figcaption table tbody thead tr td th span".split())
+#: Words before a furniture word that say what a wrapper has beside it.
+BESIDE = re.compile(r"(?:has|have|no|not|with|without|show|hide)(?:[-_]|(?=[A-Z]))", re.I)
 HEADERS = frozenset({"header", "banner", "masthead"})
 READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 BLOCKS = frozenset(
@@ -47,28 +52,75 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = frozenset({"article", "main"})
 
 
-def _names(attributes: str) -> set[str]:
-    return {w.lower() for m in _NAMED.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "") if w}
+def _names(attributes: str, topics: bool = True) -> set[str]:
+    """Words of class, id and role; without topics, TOPICS are left out."""
+    words = {w.lower() for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if not BESIDE.match(name) for w in _SPLIT.split(name) if w}
+    return words if topics else words - TOPICS
 
 
-def _furniture(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether the element that opens here is never main text."""
+def _furniture(tag: str, attributes: str, in_main: bool, exempt: bool = False) -> bool:
+    """Whether the element that opens here is never main text; an exempt one is not told by its names."""
     if tag in NEVER or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    names = _names(attributes)
+    if exempt:
+        return bool(tag not in MAIN and _HIDDEN.search(attributes))
+    names = _names(attributes, not (tag in TEXTUAL or in_main and tag in ("section", "div") and not re.search(r"\bclass\s*=", attributes, re.I)))
     if tag in MAIN:
         return bool(names & READERS)
     found = names & FURNITURE
     return bool(found - HEADERS or found and not in_main or "header" in names and not in_main or _HIDDEN.search(attributes))
 
 
+def wrappers(page: str) -> frozenset[int]:
+    """Places of the start tags whose names do not count, as the element holds the page's largest article or main, or,
+    where there is none, more than half of the words outside links and is not told as readers' comments."""
+    stack: list[tuple[str, int, int, bool, bool]] = []  # tag, place, words before, whether named, whether of readers
+    found: list[tuple[int, int, int, bool]] = []  # place, end, words, whether of readers
+    mains: list[tuple[int, int, int]] = []
+    words = mute = 0
+
+    def close(at: int, end: int) -> None:
+        nonlocal mute
+        for tag, place, before, named, readers in stack[at:]:
+            mute -= tag in NEVER or tag == "a"
+            if named:
+                found.append((place, end, words - before, readers))
+            if tag in MAIN and not readers:
+                mains.append((words - before, place, end))
+        del stack[at:]
+
+    for m in _TOKEN.finditer(page):
+        tag = m[3]
+        if tag is None:
+            if not mute and (m[0][0] != "<" or m[0] == "<"):
+                words += len(m[0].split())
+            continue
+        tag = tag.lower()
+        if m[2]:
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            if at >= 0:
+                close(at, m.start())
+        elif tag not in VOID and not (m[4].endswith("/") and tag not in BLOCKS):
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a") and stack and stack[-1][0] == tag:
+                close(len(stack) - 1, m.start())
+            mute += tag in NEVER or tag == "a"
+            names = _names(m[4]) if m[4] else frozenset()
+            stack.append((tag, m.start(), words, bool(names & (FURNITURE | HEADERS)), bool(names & READERS)))
+    close(0, len(page))
+    if mains:
+        _, at, end = max(mains, key=lambda x: (x[0], -x[1]))
+        return frozenset(a for a, b, _, _ in found if a <= at and end <= b)
+    return frozenset(a for a, _, n, readers in found if 2 * n > words and not readers)
+
+
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
     """(class, text, skipped) of the page's pieces in order. Text pieces are "word" or "link", tags "<p", "</p" and so
     on, an element of furniture gives one "<!" and its pieces are skipped, comments and scripts give nothing."""
     stack: list[tuple[str, bool]] = []  # open elements: tag, whether it starts furniture
     depth = links = main = 0
+    exempt = wrappers(page) if _NAMED.search(page) else frozenset()
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -100,7 +152,7 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             if not stack[at][1]:
                 del stack[at]
                 links -= 1
-        skip = _furniture(tag, m[4], main > 0)
+        skip = _furniture(tag, m[4], main > 0, m.start() in exempt)
         stack.append((tag, skip))
         links += tag == "a"
         main += tag in MAIN

@@ -204,6 +204,18 @@ def test_main_text():
         main_text(broken)
 
 
+@pytest.mark.parametrize("wrap", ["site has-sidebar", "content no-sidebar", "col-main right-sidebar", "entry has-comments", "page-with-menu"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_do_not_take_the_article(wrap, tag):
+    say = "These are the many words of a paragraph that belong to the text. "
+    inner = f'<p>{say * 5}</p><section id="discussion"><h2 id="search-results">Results of it</h2><p class="notice-period">{say * 3}</p></section>'
+    page = f'<html><body><nav><a href="/">Home</a></nav><div class="{wrap}"><{tag}>{inner}</{tag}><div class="comments"><p>Nice one</p></div></div><footer>Us</footer></body></html>'
+    text = main_text(page)
+    assert text.startswith("These are") and "Nice one" not in text and "Home" not in text
+    if tag == "article":
+        assert text.split("\n\n") == [(say * 5).strip(), "Results of it", (say * 3).strip()]
+
+
 def test_weights_and_scan():
     w = html_text.learned_weights()
     assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k != "word")
