@@ -50,6 +50,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset({"article", "main"})
+#: Kinds of text pieces: outside links, in a link of a paragraph, in another link.
+TEXTS = ("word", "prose link", "link")
 
 
 def _names(attributes: str, topics: bool = True) -> set[str]:
@@ -116,17 +118,18 @@ def wrappers(page: str) -> frozenset[int]:
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(class, text, skipped) of the page's pieces in order. Text pieces are "word" or "link", tags "<p", "</p" and so
-    on, an element of furniture gives one "<!" and its pieces are skipped, comments and scripts give nothing."""
+    """(class, text, skipped) of the page's pieces in order. Text pieces are one of TEXTS, tags "<p", "</p" and so
+    on ("<a p", "</a p" for links of a paragraph), an element of furniture gives one "<!" and its pieces are skipped, comments and scripts give nothing."""
     stack: list[tuple[str, bool]] = []  # open elements: tag, whether it starts furniture
     depth = links = main = 0
+    prose = False  # whether the open link is a paragraph's
     exempt = wrappers(page) if _NAMED.search(page) else frozenset()
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                yield ("link" if links else "word"), piece, depth > 0
+                yield (TEXTS[1 if prose else 2] if links else "word"), piece, depth > 0
             continue
         tag = tag.lower()
         if m[2]:
@@ -139,7 +142,7 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             depth -= sum(s for _, s in closed)
             links -= sum(t == "a" for t, _ in closed)
             main -= sum(t in MAIN for t, _ in closed)
-            yield "</" + tag, "", inside > 0
+            yield "</" + tag + (" p" if tag == "a" and prose else ""), "", inside > 0
             continue
         if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
             yield "<" + tag, "", depth > 0
@@ -152,11 +155,13 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             if not stack[at][1]:
                 del stack[at]
                 links -= 1
+        if tag == "a":
+            prose = any(t == "p" for t, _ in stack[-4:])
         skip = _furniture(tag, m[4], main > 0, m.start() in exempt)
         stack.append((tag, skip))
         links += tag == "a"
         main += tag in MAIN
-        yield ("<!" if skip else "<" + tag), "", depth > 0
+        yield ("<!" if skip else "<" + tag + (" p" if tag == "a" and prose else "")), "", depth > 0
         depth += skip
 
 
@@ -182,18 +187,32 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
             if r.random() < 0.3:
                 text = f"<b>{say(1, 6)}</b> {text} <a href='/x'>{say(1, 3)}</a> {say(1, 9)}"
             body += r.choice([f"<p>{text}</p>"] * 6 + [f"<p>{text}", f"<h2>{say(2, 6)}</h2><p>{text}</p>", f"<ul><li>{say(3, 14)}</li><li>{say(3, 14)}</li></ul>", f"{text}<br>{say(3, 30)}<br>"])
+            if r.random() < 0.4:
+                cell, link = lambda a, b: r.choice([say(a, b)] * 3 + [f"<span>{say(a, b)}</span>"]), lambda: f"<a href='/y'>{say(1, 3)}</a>"
+                wide, opened = r.randint(2, 7), r.choice(["<tbody>", ""])
+                rows = "".join("<tr>" + "".join(f"<td>{cell(1, 2)}</td>" for _ in range(wide)) + "</tr>" for _ in range(r.randint(3, 30)))
+                body += r.choice([
+                    f"<table><thead><tr>{''.join(f'<th>{say(1, 2)}</th>' for _ in range(wide))}</tr></thead>{opened}{rows}{opened.replace('<', '</')}</table>",
+                    "".join(f"<div>{say(4, 20)}</div>" for _ in range(r.randint(2, 12))), "<div>" + "".join(f"<div><p>{say(5, 30)}</p></div>" for _ in range(r.randint(1, 5))) + "</div>",
+                    f"<section><h3>{say(1, 5)}</h3><p>{say(8, 50)}</p></section>", "<p>" + " ".join(f"<span>{say(1, 3)}</span>" for _ in range(r.randint(4, 30))) + "</p>",
+                    f"<p>{say(3, 9)} <code>{say(1, 2)}</code> {say(2, 9)}</p><pre><code>{say(5, 40)}</code></pre>", f"<figure><img src='/i'><figcaption>{say(3, 14)}</figcaption></figure>",
+                    "<p>" + " ".join(f"{say(1, 5)} {link()}" for _ in range(r.randint(4, 25))) + "</p>", "<p>" + ", ".join(link() for _ in range(r.randint(4, 12))) + f" {say(3, 12)}</p>",
+                ])
             if r.random() < 0.05:
                 body += f'<div class="promo">{say(4, 12)}</div>'
         open_, close = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<section>", "</section>")])
         related = r.choice(["", f"<aside>{say(8, 30)}</aside>", f"<div><h3>{say(1, 2)}</h3><ul>{links}</ul></div>"])
         notes = r.choice(["", "", f'<section class="comments"><p>{say(5, 40)}</p></section>'])
-        foot = r.choice([f"<footer>{say(3, 12)}</footer>", f"<div>&copy; {say(2, 8)}</div>", f"<div><p>{say(3, 9)}</p><a href='/t'>{say(1, 2)}</a></div>"])
+        foot = r.choice([f"<div><p>{' | '.join(f'<a>{say(1, 2)}</a>' for _ in range(r.randint(2, 9)))}</p></div>", f"<footer>{say(3, 12)}</footer>", f"<div>&copy; {say(2, 8)}</div>", f"<div><p>{say(3, 9)}</p><a href='/t'>{say(1, 2)}</a></div>"])
         pages.append(f"<html><body>{top}{menu}{advert}{open_}{BEGIN}{body}{FINISH}{close}{notes}{related}{foot}</body></html>")
     return pages
 
 
-#: Bounds of a learned weight's size.
-LEAST, MOST = 0.05, 3.0
+#: Bounds of a learned weight's size; a tag or word of a link weighs no more than TAG_MOST, so that a run of them in the
+#: middle of a text does not outweigh the words on its lighter side.
+LEAST, MOST, TAG_MOST = 0.05, 3.0, 1.5
+#: Occurrences inside and outside that every class has at first.
+PRIOR = 20
 
 
 def learned_weights() -> dict[str, float]:
@@ -206,12 +225,12 @@ def learned_weights() -> dict[str, float]:
         for part, counts in ((before, outside), (body, inside), (after, outside)):
             for kind, text, skipped in items(part):
                 if not skipped:
-                    counts[kind] += len(text.split()) if kind in ("word", "link") else 1
+                    counts[kind] += len(text.split()) if kind in TEXTS else 1
     a, b = sum(inside.values()), sum(outside.values())
     out = {}
     for kind in inside | outside:
-        odds = math.log((inside[kind] + 1) / (a + 1)) - math.log((outside[kind] + 1) / (b + 1))
-        out[kind] = min(max(odds, LEAST), MOST) if kind == "word" else max(min(odds, -LEAST), -MOST)
+        odds = math.log((inside[kind] + PRIOR) / (a + PRIOR)) - math.log((outside[kind] + PRIOR) / (b + PRIOR))
+        out[kind] = min(max(odds, LEAST), MOST) if kind == "word" else max(min(odds, -LEAST), -TAG_MOST)
     out["<"] = -LEAST * 4
     return out
 
@@ -239,7 +258,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for kind, text, skipped in pieces:
         if skipped:
             scores.append(0.0)
-        elif kind in ("word", "link"):
+        elif kind in TEXTS:
             scores.append(weights[kind] * len(text.split()))
         else:
             scores.append(weights.get(kind, other))
@@ -252,7 +271,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         current.clear()
 
     for kind, text, skipped in pieces[start:stop]:
-        if kind in ("word", "link"):
+        if kind in TEXTS:
             if not skipped:
                 current.append(text)
         elif kind == "<br" and not skipped:

@@ -1,5 +1,6 @@
 """SimHash, HTML text, line model, line dedup and secrets against plain-Python versions and on awkward rows."""
 
+import html
 import random
 import re
 from collections import Counter
@@ -216,6 +217,23 @@ def test_names_do_not_take_the_article(wrap, tag):
         assert text.split("\n\n") == [(say * 5).strip(), "Results of it", (say * 3).strip()]
 
 
+def middles():
+    """Middles of an article that are more tags than words."""
+    cells = "".join("<tr>" + "".join(f"<td>c{i}x{j}</td>" for j in range(6)) + "</tr>" for i in range(30))
+    return [f"<table>{cells}</table>", "".join(f"<div>short line {k}</div>" for k in range(40)), "<p>" + " ".join(f"<span>s{k}</span>" for k in range(60)) + "</p>",
+            "<p>" + " ".join(f"see <a href='/{k}'>two words</a>" for k in range(30)) + "</p>", "".join(f"<section><div><p>nested part {k}</p></div></section>" for k in range(30)),
+            "<pre><code>" + "</code> <code>".join(f"code {k}" for k in range(40)) + "</code></pre><figure><img src='/i'><figcaption>a caption</figcaption></figure>"]
+
+
+@pytest.mark.parametrize("k", range(6))
+def test_middle_of_many_tags_stays_in_the_article(k):
+    middle = middles()[k]
+    menu = "<ul>" + "".join(f'<li><a href="/m{n}">menu entry</a></li>' for n in range(9)) + "</ul>"
+    body = "<p>" + "before it come words " * 12 + "</p>" + middle + "<p>" + "and after it come words " * 12 + "</p>"
+    page = f"<html><body>{menu}<article>{body}</article><div><a href='/t'>Terms</a></div></body></html>"
+    assert main_text(page).split() == html.unescape(re.sub(r"<[^>]+>", " ", body)).split()
+
+
 def test_weights_and_scan():
     w = html_text.learned_weights()
     assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k != "word")
