@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of key characters with a digit in them, found line by line. Features read the candidate (length,
+Candidates are runs of key characters with a digit in them, and whatever is assigned to a secret's name, quoted or up
+to the next space; they are found line by line. Features read the candidate (length,
 character transitions, shares of character classes, dictionary coverage), its path and the words before it. The
 forest is trained on labelled findings; its trees become CASE expressions, so the scan runs on SQL functions alone.
 """
@@ -20,9 +21,14 @@ from pyspark.sql import functions as F
 
 # What counts as a candidate, and the words that tell about it.
 KEY_CHARS = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{KEY_CHARS}])(?=[A-Za-z+/_\-]{{0,199}}[0-9])[{KEY_CHARS}]{{8,}}={{0,2}}"
+CANDIDATE = rf"(?<![{KEY_CHARS}])(?=[A-Za-z+/_\-]*+[0-9])[{KEY_CHARS}]{{8,}}={{0,2}}"
 PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|eyJ|SG|npm_|hf_)"
 NAMES = r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|credential|auth|private.?key|bearer"
+#: The value assigned to a secret's name: all in quotes, else up to a space, without closing marks at its end.
+ASSIGNED = r"""(?<=")[^"]+(?=")|(?<=')[^']+(?=')|[^\s"']\S*(?<![,;.)\]}>"'`])"""
+BEFORE_ASSIGNED = rf"""(?:{NAMES})[\w.\-]{{0,40}}["'\]]{{0,2}}\s{{0,9}}(?::=|=>|[:=])\s{{0,9}}["']?"""
+#: Values that name where the secret comes from, or its kind, and are none themselves.
+REFERENCES = r"""(?i)^(?:[$<{(%\[*.]|(?:none|null|nil|true|false|required|optional|string|str|text|undefined|hidden|redacted|changeme|invalid|expired|missing|unknown|empty)\b|[\w.]*[a-z_]\w*[(\[]|(?:os|env|process|config|settings|self|this)\.|https?:)|^(?:\W+|(.)\1+)$"""
 DECOYS = r"example|dummy|placeholder|sample|test|fake|commit|sha\d*|checksum|digest|uuid|guid|build|version|https?:|href|src|order|invoice|card|phone|isbn|id"
 PATHS = r"(?i)test|example|sample|fixture|mock|docs?(?:/|$)|readme"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -38,13 +44,13 @@ TREES, DEPTH, LEAF = 25, 5, 4
 #: Probability from which a candidate is a secret.
 THRESHOLD = 0.5
 
-FEATURES = ("length", "transitions", "digits", "upper", "symbols", "hexadecimal", "coverage", "distinct", "path", "named", "decoy", "assigned", "prefix", "uuid")
+FEATURES = ("length", "transitions", "digits", "upper", "symbols", "hexadecimal", "coverage", "distinct", "path", "named", "decoy", "assigned", "prefix", "uuid", "reference")
 
 
 def features(value: Column, before: Column, path: Column) -> list[Column]:
     """The forest's inputs as DOUBLE columns, in the order of FEATURES."""
     n = F.length(value).cast("double")
-    classes = F.translate(value, string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-=", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 5)
+    classes = F.translate(value, string.ascii_lowercase + string.ascii_uppercase + string.digits + string.punctuation, "a" * 26 + "A" * 26 + "0" * 10 + "-" * len(string.punctuation))
     share = lambda other: F.length(F.regexp_replace(classes, other, "")) / n
     flag = lambda text, pattern: F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)).cast("double")
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
@@ -63,6 +69,7 @@ def features(value: Column, before: Column, path: Column) -> list[Column]:
         flag(before, r"[=:]\s*[\"']?$"),
         flag(value, PREFIXES),
         flag(value, UUID),
+        flag(value, REFERENCES),
     ]
 
 
@@ -102,6 +109,25 @@ def labelled_findings(count: int = 1200, seed: int = 11) -> list[tuple[str, str,
             ])()
             path = r.choice(["", "src0", "tests/fixtures/keys.py", "docs/example.md", "src3", "README"])
         made.append((case(value), before[-BEFORE:], path, k % 2))
+    marks = "!@#$%^&*.?~"
+    for k in range(count // 2):  # values that only their name makes candidates
+        name = r.choice(["password", "passwd", "secret", "token", "api_key", "db_password", "passphrase", "client_secret", "auth_token", "pwd"])
+        mark = r.choice(["=", " = ", ": ", ":", ' = "', "='", '="'])
+        if k % 2:
+            value = r.choice([
+                lambda: "".join(pick(low, r.randint(4, 8)) for _ in range(r.randint(3, 4))), lambda: pick(string.ascii_letters, r.randint(12, 40)),
+                lambda: pick(string.ascii_uppercase, 1) + pick(low, r.randint(0, 3)) + pick(marks, 1) + pick(any_, r.randint(3, 9)) + pick(marks, 1) + pick(string.digits, r.randint(1, 4)),
+                lambda: pick(any_ + marks, r.randint(9, 24)), lambda: " ".join(pick(low, r.randint(4, 8)) for _ in range(4)),
+            ])()
+            path = r.choice(["", "src0", "src/app.py", "config/prod.env", "src12"])
+        else:
+            value = r.choice([
+                lambda: pick(low, r.randint(1, 9)), lambda: word(), lambda: pick(string.digits, r.randint(1, 4)), lambda: "${" + pick(string.ascii_uppercase, r.randint(4, 12)) + "}",
+                lambda: f"os.environ[{word()}", lambda: f"get_{word()}(self", lambda: f"<your-{word()}>", lambda: r.choice(["required", "optional", "string", "none", "null", "true", "changeme", "undefined"]),
+                lambda: pick(string.ascii_uppercase, 1) + pick(low, r.randint(1, 8)), lambda: "*" * r.randint(3, 16), lambda: f"{word()}-{word()}-{word()}",
+            ])()
+            path = r.choice(["", "src0", "docs/example.md", "src3", "README"])
+        made.append((value, (prose() + name + mark)[-BEFORE:], path, k % 2))
     return made
 
 
@@ -167,19 +193,30 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forest = forest if forest is not None else train_forest(df.sparkSession)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     lines = df.select(F.col(id_col).alias("id"), path.alias("path"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = lines.where(F.regexp_like("line", F.lit(CANDIDATE)))
-    # \G: every search goes on where the last match ended, so a line is read once
-    steps = lines.withColumn("steps", F.regexp_extract_all("line", F.lit(rf"\G(?s:.*?)({CANDIDATE})"), F.lit(0))).withColumn("values", F.regexp_extract_all("line", F.lit(rf"\G(?s:.*?)({CANDIDATE})"), F.lit(1)))
+    lines = lines.where(F.regexp_like("line", F.lit(CANDIDATE)) | F.regexp_like("line", F.lit(f"{BEFORE_ASSIGNED}(?:{ASSIGNED})")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("stops"))
-    walk = F.aggregate("steps", zero, lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["stops"], F.array(acc["at"] + F.length(s))).alias("stops")))["stops"]
-
-    def found(value: Column, k: Column) -> Column:
-        stop = F.get("stops", k)
-        start = stop - F.length(value)
-        first = F.greatest(start - BEFORE, F.lit(0))
-        return F.struct(value.alias("value"), start.alias("start"), stop.alias("stop"), F.substr("line", first + 1, start - first).alias("before"))
 
-    rows = steps.withColumn("stops", walk).select("id", "path", "line_no", F.explode(F.transform("values", found)).alias("c"))
+    def stops(steps: str) -> Column:
+        return F.aggregate(steps, zero, lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["stops"], F.array(acc["at"] + F.length(s))).alias("stops")))["stops"]
+
+    def found(stops: str):
+        def one(value: Column, k: Column) -> Column:
+            stop = F.get(stops, k)
+            start = stop - F.length(value)
+            first = F.greatest(start - BEFORE, F.lit(0))
+            return F.struct(value.alias("value"), start.alias("start"), stop.alias("stop"), F.substr("line", first + 1, start - first).alias("before"))
+
+        return one
+
+    rows = lines
+    for form, pattern in (("key", f"({CANDIDATE})"), ("named", f"{BEFORE_ASSIGNED}({ASSIGNED})")):
+        # \G: every search goes on where the last match ended, so a line is read once
+        pattern = F.lit(rf"\G(?s:.*?){pattern}")
+        rows = rows.withColumn(f"{form}_steps", F.regexp_extract_all("line", pattern, F.lit(0))).withColumn(f"{form}_values", F.regexp_extract_all("line", pattern, F.lit(1)))
+    rows = rows.withColumn("key_stops", stops("key_steps")).withColumn("named_stops", stops("named_steps"))
+    # an assigned value that is a run of key characters with a digit is found as such already
+    new = F.filter(F.transform("named_values", found("named_stops")), lambda c: ~F.regexp_like(c["value"], F.lit(rf"^(?:{CANDIDATE})$")))
+    rows = rows.select("id", "path", "line_no", F.explode(F.concat(F.transform("key_values", found("key_stops")), new)).alias("c"))
     rows = rows.select("id", "path", (F.col("line_no") + 1).alias("line_no"), "c.*")
     named = rows.withColumns({f"f_{k}": c for k, c in zip(FEATURES, features(F.col("value"), F.col("before"), F.col("path")), strict=True)})
     probability = as_column(forest, [F.col(f"f_{k}") for k in FEATURES])

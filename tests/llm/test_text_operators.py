@@ -395,6 +395,18 @@ def test_secrets_against_python(spark, forest):
     assert not verdict["9000426309966109"] and not verdict["123e4567-e89b-12d3-a456-426614174000"]
 
 
+def test_secrets_of_any_characters_after_a_name(spark, forest):
+    far = "k" * 300 + "7"
+    texts = ["password=correcthorsebattery", "x api_key: 'QwErTyUiOpAsDfGhJkLz' y", 'password = "P@ssw0rd!2024"', '{"passphrase": "correct horse battery staple"}', f"see {far}", "password: required", "the token: string", "password=${DB_PASSWORD}", "token=abcdefgh12345678, next"]
+    docs = spark.createDataFrame([(k, t, "src") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.scan_secrets(docs, forest=forest).collect()
+    assert all(texts[r.doc_id][r.start : r.stop] == r.value for r in rows)
+    got = {(r.doc_id, r.value): r.is_secret for r in rows}
+    want = ["correcthorsebattery", "QwErTyUiOpAsDfGhJkLz", "P@ssw0rd!2024", "correct horse battery staple", far, "required", "string", "${DB_PASSWORD", "abcdefgh12345678"]
+    assert set(got) == set(enumerate(want)) and len(rows) == len(want)
+    assert all(got[k, want[k]] for k in (0, 1, 2, 3, 8)) and not any(got[k, want[k]] for k in (5, 6, 7))
+
+
 def test_secrets_awkward(spark, forest):
     rows = spark.createDataFrame([(None, None, None, "v"), (1, "", "a", "v"), (2, "token=" + "a1" * 20, None, "v"), (2, "token=" + "a1" * 20, None, "v"), (3, "x1234567y " * 3000, "t", "v")], "doc_id long, text string, source string, value string")
     got = Counter(r.doc_id for r in secrets.scan_secrets(rows, forest=forest).collect())
