@@ -233,3 +233,11 @@ def test_quality_and_extensions(spark):
     assert {r.m: r.wins for r in extensions.win_counts(rows, "g", "m", "v").collect()} == {1: 2}
     found = quality.all_messages(quality.unique_key(rows, F.lit("t"), F.col("g"), F.col("m"), "D1"))
     assert [(r.errors, r.passed) for r in quality.summary(found).collect()] == [(1, False)]
+
+
+def test_include_closure_of_every_root(spark, tmp_path):
+    from folioscan.plans import catalogue
+
+    spark.range(1, 121).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted((r.root, r.node, r.depth) for r in catalogue.q36_include_closure(spark, str(tmp_path)).collect())
+    assert got == sorted((k, k >> d, d) for k in range(1, 121) for d in range(k.bit_length()))
