@@ -2,8 +2,10 @@
 
 A page is a sequence of words and tags. Words score positive, tags and words of links negative; the weights are
 log-odds of lying inside against outside the main text, counted over labelled pages. One linear scan finds the
-contiguous region with the largest sum. Inside it, elements that are never main text (menus, notices, adverts, forms,
-reader comments and the like, told by tag, class, id or role) are skipped; such an element scores as one tag.
+contiguous region with the largest sum. The region then takes the edges of the page's structure: of the smallest article
+or main element that holds most of its words, or else of whole blocks. Inside it, elements that are never main text
+(menus, notices, adverts, forms, reader comments and the like, told by tag, class, id or role) are skipped; such an
+element scores as one tag.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,27 +51,32 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
     "nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose words do not tell where a page's text lies.
+MUTE = (NEVER - {"form"}) | {"a"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset({"article", "main"})
+#: Whole blocks that are notices or controls wherever they stand at an end of a text without article or main.
+NOTICE = re.compile(r"(?is)(?=.*\bcookies?\b)(?=.*\b(?:accept|consent|agree|policy|settings)\b).{0,400}|.{0,40}\ball rights reserved\b.{0,40}|(?:©|\(c\)|copyright\b).{0,80}|subscribe to .{0,60}newsletter.{0,40}|(?:reply|share|print|leave a comment|skip to (?:main )?content)\W*")
 #: Kinds of text pieces: outside links, in a link of a paragraph, in another link.
 TEXTS = ("word", "prose link", "link")
 
 
-def _names(attributes: str, topics: bool = True) -> set[str]:
-    """Words of class, id and role; without topics, TOPICS are left out."""
-    words = {w.lower() for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if not BESIDE.match(name) for w in _SPLIT.split(name) if w}
+def _names(attributes: str, topics: bool = True, whole: bool = False) -> set[str]:
+    """Words of class, id and role, or whole names alone; without topics, TOPICS are left out."""
+    named = [name for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if not BESIDE.match(name)]
+    words = {name.lower() for name in named} if whole else {w.lower() for name in named for w in _SPLIT.split(name) if w}
     return words if topics else words - TOPICS
 
 
 def _furniture(tag: str, attributes: str, in_main: bool, exempt: bool = False) -> bool:
     """Whether the element that opens here is never main text; an exempt one is not told by its names."""
+    if exempt:
+        return bool(tag not in MAIN and _HIDDEN.search(attributes))
     if tag in NEVER or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if exempt:
-        return bool(tag not in MAIN and _HIDDEN.search(attributes))
-    names = _names(attributes, not (tag in TEXTUAL or in_main and tag in ("section", "div") and not re.search(r"\bclass\s*=", attributes, re.I)))
+    names = _names(attributes, not (tag in TEXTUAL or in_main and tag in ("section", "div")), tag in TEXTUAL)
     if tag in MAIN:
         return bool(names & READERS)
     found = names & FURNITURE
@@ -76,8 +84,9 @@ def _furniture(tag: str, attributes: str, in_main: bool, exempt: bool = False) -
 
 
 def wrappers(page: str) -> frozenset[int]:
-    """Places of the start tags whose names do not count, as the element holds the page's largest article or main, or,
-    where there is none, more than half of the words outside links and is not told as readers' comments."""
+    """Places of the start tags whose names do not count (nor that it is a form), as the element holds the page's largest
+    article or main, or, where there is none, more than half of the words outside links and is not told as readers'
+    comments."""
     stack: list[tuple[str, int, int, bool, bool]] = []  # tag, place, words before, whether named, whether of readers
     found: list[tuple[int, int, int, bool]] = []  # place, end, words, whether of readers
     mains: list[tuple[int, int, int]] = []
@@ -86,7 +95,7 @@ def wrappers(page: str) -> frozenset[int]:
     def close(at: int, end: int) -> None:
         nonlocal mute
         for tag, place, before, named, readers in stack[at:]:
-            mute -= tag in NEVER or tag == "a"
+            mute -= tag in MUTE
             if named:
                 found.append((place, end, words - before, readers))
             if tag in MAIN and not readers:
@@ -107,9 +116,9 @@ def wrappers(page: str) -> frozenset[int]:
         elif tag not in VOID and not (m[4].endswith("/") and tag not in BLOCKS):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1, m.start())
-            mute += tag in NEVER or tag == "a"
+            mute += tag in MUTE
             names = _names(m[4]) if m[4] else frozenset()
-            stack.append((tag, m.start(), words, bool(names & (FURNITURE | HEADERS)), bool(names & READERS)))
+            stack.append((tag, m.start(), words, tag == "form" or bool(names & (FURNITURE | HEADERS)), bool(names & READERS)))
     close(0, len(page))
     if mains:
         _, at, end = max(mains, key=lambda x: (x[0], -x[1]))
@@ -118,12 +127,14 @@ def wrappers(page: str) -> frozenset[int]:
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(class, text, skipped) of the page's pieces in order. Text pieces are one of TEXTS, tags "<p", "</p" and so
-    on ("<a p", "</a p" for links of a paragraph), an element of furniture gives one "<!" and its pieces are skipped, comments and scripts give nothing."""
+    """(class, text, skipped) of the page's pieces in order. Text pieces are one of TEXTS, tags "<p", "</p" and so on
+    ("<a p", "</a p" for links of a paragraph). An element of furniture gives one "<!" with its tag as the text, and its
+    pieces are skipped. Comments and scripts give nothing. Behind the last piece "</article" and "</main" follow for
+    those that are open."""
     stack: list[tuple[str, bool]] = []  # open elements: tag, whether it starts furniture
     depth = links = main = 0
     prose = False  # whether the open link is a paragraph's
-    exempt = wrappers(page) if _NAMED.search(page) else frozenset()
+    exempt = wrappers(page) if _NAMED.search(page) or "<form" in page.lower() else frozenset()
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -142,6 +153,9 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             depth -= sum(s for _, s in closed)
             links -= sum(t == "a" for t, _ in closed)
             main -= sum(t in MAIN for t, _ in closed)
+            for t, started in reversed(closed[1:]):
+                if t in MAIN and not started:
+                    yield "</" + t, "", inside > 0
             yield "</" + tag + (" p" if tag == "a" and prose else ""), "", inside > 0
             continue
         if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
@@ -161,8 +175,11 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
         stack.append((tag, skip))
         links += tag == "a"
         main += tag in MAIN
-        yield ("<!" if skip else "<" + tag + (" p" if tag == "a" and prose else "")), "", depth > 0
+        yield ("<!" if skip else "<" + tag + (" p" if tag == "a" and prose else "")), tag if skip else "", depth > 0
         depth += skip
+    for t, started in reversed(stack):
+        if t in MAIN and not started:
+            yield "</" + t, "", depth > 0
 
 
 # --- labelled pages -------------------------------------------------------------------------------------------------
@@ -248,6 +265,42 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def _edge(kind: str, text: str) -> bool:
+    """Whether a block starts or ends at the piece."""
+    return (text if kind == "<!" else kind.lstrip("</")) in BLOCKS and kind not in TEXTS
+
+
+#: Share of a region's words that an article or main must hold for the region to take its edges.
+HELD = 0.8
+
+
+def snapped(pieces: list[tuple[str, str, bool]], start: int, stop: int) -> tuple[int, int, bool]:
+    """The region [start, stop) at edges of the structure: the smallest article or main that holds HELD of its words
+    (True), or else whole blocks (False)."""
+    sizes = [len(text.split()) if kind in TEXTS and not skipped else 0 for kind, text, skipped in pieces]
+    upto = [0, *accumulate(sizes)]
+    inside = upto[stop] - upto[start]
+    opened: list[int] = []
+    spans = []
+    for k, (kind, _, skipped) in enumerate(pieces):
+        if kind in ("<article", "<main") and not skipped:
+            opened.append(k)
+        elif kind in ("</article", "</main") and not skipped and opened:
+            spans.append((opened.pop(), k + 1))
+    best = None
+    for a, b in spans:
+        shared = upto[max(min(b, stop), start)] - upto[min(max(a, start), stop)]
+        if shared >= HELD * inside and (best is None or b - a < best[1] - best[0]):
+            best = (a, b)
+    if best:
+        return *best, True
+    while start > 0 and not _edge(*pieces[start - 1][:2]):
+        start -= 1
+    while stop < len(pieces) and not _edge(*pieces[stop][:2]):
+        stop += 1
+    return start, stop, False
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the page's main text joined by blank lines; empty if there is none."""
     if not page:
@@ -263,6 +316,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         else:
             scores.append(weights.get(kind, other))
     start, stop = best_region(scores)
+    if start == stop:
+        return ""
+    start, stop, told = snapped(pieces, start, stop)
     blocks, current = [], []
 
     def close() -> None:
@@ -276,9 +332,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
                 current.append(text)
         elif kind == "<br" and not skipped:
             current.append(" ")
-        elif kind.lstrip("</") in BLOCKS or kind == "<!" and not skipped:
+        elif _edge(kind, text) and (not skipped or kind == "<!"):
             close()
     close()
+    while not told and len(blocks) > 1 and NOTICE.fullmatch(blocks[0]):
+        del blocks[0]
+    while not told and len(blocks) > 1 and NOTICE.fullmatch(blocks[-1]):
+        del blocks[-1]
     return "\n\n".join(blocks)
 
 

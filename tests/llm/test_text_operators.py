@@ -234,6 +234,30 @@ def test_middle_of_many_tags_stays_in_the_article(k):
     assert main_text(page).split() == html.unescape(re.sub(r"<[^>]+>", " ", body)).split()
 
 
+ARTICLE = "<h1>Great title here</h1>" + "".join(f"<p>{'some words of a real article body text ' * 6}{k}</p>" for k in range(5))
+MENU = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>'
+PLAIN = "\n\n".join(["Great title here", *["some words of a real article body text " * 6 + str(k) for k in range(5)]])
+
+
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        (f'{MENU}<div class="layout has-sidebar"><div class="x">{ARTICLE}</div></div><footer>c</footer>', []),
+        (f'<form id="aspnetForm" action="x">{MENU}<div>{ARTICLE}</div></form>', []),
+        (f'{MENU}<article>{ARTICLE}<section class="discussion"><h2>Discussion</h2><p>we discuss it</p></section><p class="share-price">The share price rose.</p></article>', ["Discussion", "we discuss it", "The share price rose."]),
+        (f'{MENU}<article>{ARTICLE}<div class="comments"><p>nice</p></div><p class="ad">buy</p></article>', []),
+        (f"{MENU}<article>{ARTICLE}<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>15</td></tr></table></article>", ["a", "b", "1", "15"]),
+        (f'{MENU}<article>{ARTICLE}<p><a href="/x">one link</a>, <a href="/y">two links</a></p></article><footer>f</footer>', ["one link, two links"]),
+        (f'{MENU}<main>{ARTICLE}<ul><li><a href="/x">one link</a></li><li><a href="/y">two</a></li></ul><p>Short end.</p></main>', ["one link", "two", "Short end."]),
+        (f'{MENU}<article>{ARTICLE}<p>before <span class="ad">ad</span> after <button>b</button> later <i aria-hidden="true">x</i> last</p></article>', ["before after later last"]),
+        (f"<div>We use cookies. Accept all</div><article>{ARTICLE}</article><div><p>Bob says: nice</p><p>Reply</p></div>", []),
+        (f"<div>We use cookies. Accept all</div><div>{ARTICLE}</div><div>All rights reserved</div>", []),
+    ],
+)
+def test_structure_of_the_page_keeps_the_article_whole(page, more):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.learned_weights()) == "\n\n".join([PLAIN, *more])
+
+
 def test_weights_and_scan():
     w = html_text.learned_weights()
     assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k != "word")
