@@ -1,23 +1,38 @@
-"""Shared pieces: shared-folder tables that cut lineage, and connected components."""
+"""Shared pieces: shared-folder tables that cut lineage, joins that spread large keys, and connected components."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the cluster names no folder (tests on one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints/folioscan"
+#: A key is large if it has more than rows / (LARGE_SHARE * partitions) rows, so that many keys are large at most.
+LARGE_SHARE = 4
+#: No key with fewer rows is large.
+LARGE_LEAST = 256
 
 #: A word of a text: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or FALLBACK_DIR where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, but
+    only if the driver is the one executor; on a cluster that raises RuntimeError."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or FALLBACK_DIR).rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/folioscan-{spark.sparkContext.applicationId}"
+
+
+def partitions(spark: SparkSession) -> int:
+    """spark.sql.shuffle.partitions, or the default parallelism where a platform sets it to a word."""
+    value = spark.conf.get("spark.sql.shuffle.partitions", "")
+    return int(value) if value.isdecimal() else spark.sparkContext.defaultParallelism
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -30,13 +45,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def unsettle(df: DataFrame) -> None:
-    """Delete a table written by settle(); a no-op for other frames."""
-    path = getattr(df, "_settled_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def unsettle(*frames: DataFrame) -> None:
+    """Delete tables written by settle(); a no-op for other frames."""
+    for df in frames:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def word_count(text):
@@ -44,11 +60,25 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def join_sized(rows: DataFrame, table: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+    """rows joined with table, which has one row for each of the keys and in `count` how many of the rows that key has;
+    total: the number of rows. Large keys, of which there are LARGE_SHARE * partitions at most, are broadcast, so that
+    none of them meets in one task; the others are shuffled. Keys must not be null."""
+    limit = max(LARGE_LEAST, total // (LARGE_SHARE * partitions(rows.sparkSession)))
+    more = [c for c in table.columns if c not in keys]
+    large = table.where(F.col(count) > limit).select(*keys, F.struct(*more).alias("_large"))
+    marked = rows.join(F.broadcast(large), keys, "left")
+    spread = marked.where("_large IS NOT NULL").select(*rows.columns, *[F.col(f"_large.{c}").alias(c) for c in more])
+    small = marked.where("_large IS NULL").select(*rows.columns).join(table.where(F.col(count) <= limit), keys)
+    return spread.unionByName(small.select(*rows.columns, *more))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Label every node of edges(a, b) with the smallest node of its component.
 
     Alternating large-star and small-star contraction: every round is two grouped minima and two equi-joins, the
-    number of rounds grows with the logarithm of the longest path, and no round holds a component in one place.
+    number of rounds grows with the logarithm of the longest path. No round holds a component in one place: a centre
+    with more than its share of the edges is broadcast (join_sized).
     Returns (node, root) for every node that has an edge; self loops and repeated edges are ignored, an edge with a
     null end links nothing. Raises RuntimeError if the contraction has not settled after `rounds` rounds.
     """
@@ -56,17 +86,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     current, before = settle(edges, "edges"), None
     for _ in range(rounds):
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        if tuple(state) == before or not state[0]:
             break
-        before = tuple(state)
+        before, total = tuple(state), state[0]
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = settle(join_sized(both, low, ["u"], 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_sized(large, least, ["u"], total)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         settled = settle(small.distinct(), "edges")
-        unsettle(current)
+        unsettle(current, large)
         current = settled
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -12,9 +12,10 @@
 
 64 bits cannot tell a shingle similarity of 0.8: such pairs differ in some 4 to 16 bits, more than agreeing blocks can
 search, and repeats of one passage sway them. Where a similarity is asked for, it is that of the sets of shingles, and
-64 bits play no part: equal sets are one class, classes that share a key of smallest shingle hashes are candidates, and
-a candidate pair is linked only if its sets, compared in full, reach the similarity. Before that the pivot table and a
-fingerprint of WIDE bits, whose differing share follows the angle between large sets closely, discard pairs.
+64 bits play no part. Equal sets are one class. Classes that share a key of smallest shingle hashes are compared by
+fingerprints of WIDE bits, whose differing share follows the angle between sets closely: the pivot table discards pairs
+first, then their differing bits do. What is still connected is compared again by the whole sets, and only pairs that
+reach the similarity link. Both comparisons meet in blocks of a bounded size (grouped_links), also in large groups.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import connected_components, settle
+from folioscan.llm.common import connected_components, join_sized, settle, unsettle
 
 BITS = 64
 #: Reference fingerprints of the pivot table.
@@ -48,7 +49,7 @@ WIDE_ERRORS = 5
 WIDE_LEAST = 128
 #: Keys of the search by similarity, and smallest hashes in one: at 0.8 all keys miss 3 pairs of 1,000,000.
 BANDS, ROWS = 32, 5
-#: Classes up to which those connected by keys are compared in one place; more are compared key by key.
+#: Classes of a group that are compared in one place; larger groups are dealt over blocks of half as many.
 LARGE_GROUP = 256
 
 
@@ -89,39 +90,46 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The text's fingerprint as an unsigned integer: a bit is set if it is set in over half of the shingles' hashes;
     0 without words."""
-    votes, n = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, words, seed):
-        votes += _votes(hashes[:, None])
-        n += len(hashes)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+    return _hashed(text, words, seed, False)[0]
 
 
-def _sketch(text: str | None, words: int, seed: int = 42) -> tuple[int, bytes, np.ndarray, np.ndarray]:
-    """wide_sketch() and the sorted set of shingle hashes. Only the 64-bit fingerprint counts repeats."""
-    votes, wide, n = np.zeros(BITS, np.int64), np.zeros(WIDE, np.int64), 0
-    least, parts = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), [np.zeros(0, np.uint64)]
+def _hashed(text: str | None, words: int, seed: int = 42, distinct: bool = True) -> tuple[int, np.ndarray]:
+    """The fingerprint and, if asked for, the sorted distinct shingle hashes, in one pass over the text."""
+    votes, n, parts = np.zeros(BITS, np.int64), 0, [np.zeros(0, np.uint64)]
     for hashes in shingle_hashes(text, words, seed):
         votes += _votes(hashes[:, None])
         n += len(hashes)
-        parts.append(np.unique(hashes))
-    once = np.unique(np.concatenate(parts))
+        if distinct:
+            parts.append(np.unique(hashes))
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]), np.unique(np.concatenate(parts))
+
+
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The text's distinct shingle hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for h in shingle_hashes(text, words, seed))]))
+
+
+def wide_keys(once: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(wide fingerprint, keys) of a set of shingle hashes: WIDE bits, each set if it is set in over half of the hashes
+    mixed anew, and BANDS keys of ROWS smallest hashes each. An empty set has zeros."""
+    wide, least = np.zeros(WIDE, np.int64), np.zeros(BANDS * ROWS, np.uint64)
     for at in range(0, len(once), 2040):
         z = once[at : at + 2040, None] ^ _SHIFTS
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         wide += _votes(z ^ (z >> np.uint64(31)))
-    if n:
+    keys = [0] * BANDS
+    if len(once):
         for k, factor in enumerate(_FACTORS):
             least[k] = (once * factor).min()
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), 0) for row in least.reshape(BANDS, ROWS)] if n else [0] * BANDS
-    bits = lambda v, size: np.packbits(v * 2 > size, bitorder="little")
-    return int(bits(votes, n).view("<u8")[0]), bits(wide, len(once)).tobytes(), np.array(keys, np.uint64).view(np.int64), once
+        keys = [xxhash.xxh64_intdigest(row.tobytes(), 0) for row in least.reshape(BANDS, ROWS)]
+    return np.packbits(wide * 2 > len(once), bitorder="little").tobytes(), np.array(keys, np.uint64).view(np.int64)
 
 
 def wide_sketch(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
-    """(fingerprint, wide fingerprint, keys): the text's fingerprint, WIDE bits made the same way from mixed hashes of
-    its distinct shingles, and BANDS keys of ROWS smallest hashes each. A text without words has zeros."""
-    return _sketch(text, words, seed)[:3]
+    """(fingerprint, wide fingerprint, keys) of a text; only the first counts repeated shingles."""
+    fp, once = _hashed(text, words, seed)
+    return fp, *wide_keys(once)
 
 
 def wide_limit(similarity: float) -> int:
@@ -146,20 +154,27 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, fp, class, wide, keys, shingles): fingerprints() with the hash of the set of shingles, its wide fingerprint
-    and keys, and the set itself as sorted hashes of eight octets."""
+    """(id, body, fp, class, size, wide, keys): fingerprints() with the hashes of the text and of its set of shingles,
+    the size of the set, its wide fingerprint and its keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps, wide, keys, sets = zip(*[_sketch(t, words) for t in part.column(1).to_pylist()], strict=True)
-                sets = [s.tobytes() for s in sets]
+                texts = part.column(2).to_pylist()
+                fps, sets = zip(*[_hashed(t, words) for t in texts], strict=True)
+                wide, keys = zip(*[wide_keys(s) for s in sets], strict=True)
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), signed(fps), signed([xxhash.xxh3_64_intdigest(s) for s in sets]), pa.array(wide, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["id", "fp", "class", "wide", "keys", "shingles"])
+                columns = [part.column(0), part.column(1), signed(fps), signed([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), pa.array(wide, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "body", "fp", "class", "size", "wide", "keys"])
 
-    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, fp bigint, class bigint, wide binary, keys array<bigint>, shingles binary")
+    slim = df.select(F.col(id_col).alias("id"), body_hash(text_col).alias("body"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(scan, f"id {dict(slim.dtypes)['id']}, body bigint, fp bigint, class bigint, size int, wide binary, keys array<bigint>")
+
+
+def body_hash(text_col: str) -> Column:
+    """The hash that names a whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -174,11 +189,11 @@ def key_masks(limit: int, blocks: int) -> list[int]:
 
 
 class _Parts:
-    """Union-find over positions."""
+    """Union-find over positions, from single ones or from parts that are linked already."""
 
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-        self.parts = n
+    def __init__(self, n: int, known: np.ndarray | None = None) -> None:
+        self.root = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1].reshape(-1)
+        self.parts = len(np.unique(self.root))
 
     def join(self, i: int, found: np.ndarray) -> list[int]:
         """Link i with the positions found; returns one position for each part that was not yet i's."""
@@ -211,24 +226,49 @@ def _compare(fps: np.ndarray, where: np.ndarray, parts: _Parts, limit: int, out:
             out.extend((fps[where[k]], fps[j]) for j in parts.join(int(where[k]), where[rest]))
 
 
-def link_sets(classes: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def _wide_rest(k: int, rest: np.ndarray, sizes: np.ndarray, wide: np.ndarray, table: np.ndarray, similarity: float, limit: int) -> np.ndarray:
+    """Those of rest that the sizes, the pivot table and the wide fingerprints leave as partners of k. The last two do
+    not tell sets of fewer than WIDE_LEAST shingles."""
+    rest = rest[np.minimum(sizes[rest], sizes[k]) >= similarity * np.maximum(sizes[rest], sizes[k]) - 1e-9]
+    if sizes[k] >= WIDE_LEAST:
+        rest = rest[(sizes[rest] < WIDE_LEAST) | (np.abs(table[rest] - table[k]).max(axis=1) <= limit)]
+        rest = rest[(sizes[rest] < WIDE_LEAST) | (_differ(wide[rest], wide[k]) <= limit)]
+    return rest
+
+
+def _pivot_table(wide: np.ndarray) -> np.ndarray:
+    return np.column_stack([_differ(wide, r) for r in _WIDE_REFERENCES])
+
+
+def link_wide(classes: np.ndarray, parts: _Parts, sizes: np.ndarray, wide: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all of classes that are connected by pairs which the wide fingerprints cannot tell to be below
+    the similarity."""
+    out, limit = [], wide_limit(similarity)
+    table = _pivot_table(wide)
+    for k in range(len(classes) - 1):
+        rest = np.nonzero(parts.root != parts.root[k])[0]
+        if not len(rest):
+            break
+        rest = _wide_rest(k, rest, sizes, wide, table, similarity, limit)
+        if len(rest):
+            out.extend((classes[k], classes[j]) for j in parts.join(k, rest))
+    return out
+
+
+def link_sets(classes: np.ndarray, parts: _Parts, wide: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that join all of classes that are connected by pairs whose sets have at least the similarity."""
-    parts, out, limit = _Parts(len(sets)), [], wide_limit(similarity)
+    out, limit = [], wide_limit(similarity)
     sizes = np.array([len(s) for s in sets])
     stops = np.cumsum(sizes)
     starts = stops - sizes
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
     mark = np.zeros(codes.max(initial=0) + 1, bool)
-    table = np.column_stack([_differ(wide, r) for r in _WIDE_REFERENCES])
-    small = sizes < WIDE_LEAST
+    table = _pivot_table(wide)
     for k in range(len(sets) - 1):
         rest = np.nonzero(parts.root != parts.root[k])[0]
         if not len(rest):
             break
-        rest = rest[np.minimum(sizes[rest], sizes[k]) >= similarity * np.maximum(sizes[rest], sizes[k]) - 1e-9]
-        if not small[k]:
-            rest = rest[small[rest] | (np.abs(table[rest] - table[k]).max(axis=1) <= limit)]
-            rest = rest[small[rest] | (_differ(wide[rest], wide[k]) <= limit)]
+        rest = _wide_rest(k, rest, sizes, wide, table, similarity, limit)
         if not len(rest):
             continue
         mark[codes[starts[k] : stops[k]]] = True
@@ -307,33 +347,104 @@ def _link_sorted(limit: int):
     return link
 
 
-def _share_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (no, key, class) whose key others have too, with the first class of the key."""
-    for no, key, classes in _whole_runs([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches):
-        starts = _run_starts(no, key)
-        sizes = np.diff(starts)
-        first, many = np.repeat(classes[starts[:-1]], sizes), np.repeat(sizes > 1, sizes)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (no, key, classes, first)], names=["no", "key", "class", "first"])
+def _compare_wide(similarity: float):
+    limit = wide_limit(similarity)
 
-
-def _link_sets(similarity: float):
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        no, key, classes, sets = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-        return [no, key, classes, np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(len(no), -1), sets]
+        run, classes, part, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        return [run, run, classes, part, size, np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(len(run), -1)]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for no, key, classes, wide, sets in _whole_runs(columns(b) for b in batches if b.num_rows):
-            classes, starts, out = classes.view(np.uint64), _run_starts(no, key), []
-            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-                if b - a > 1:
-                    out += link_sets(classes[a:b], wide[a:b], [np.frombuffer(s, "<u8") for s in sets[a:b]], similarity)
+        for run, _, classes, part, size, wide in _whole_runs(columns(b) for b in batches if b.num_rows):
+            classes, starts = classes.view(np.uint64), _run_starts(run, run)
+            sizes = np.diff(starts)
+            a = starts[:-1][(sizes == 2)]  # by far the most runs are pairs: all of them at once
+            a = a[(part[a] != part[a + 1]) & (np.minimum(size[a], size[a + 1]) >= similarity * np.maximum(size[a], size[a + 1]) - 1e-9)]
+            near, told = np.ones(len(a), bool), np.minimum(size[a], size[a + 1]) >= WIDE_LEAST
+            for ref in _WIDE_REFERENCES:
+                near &= np.abs(_differ(wide[a], ref) - _differ(wide[a + 1], ref)) <= limit
+            near &= _differ(wide[a], wide[a + 1]) <= limit
+            a = a[near | ~told]
+            out = list(zip(classes[a].tolist(), classes[a + 1].tolist(), strict=True))
+            for at in np.nonzero(sizes > 2)[0].tolist():
+                s = slice(starts[at], starts[at + 1])
+                out += link_wide(classes[s], _Parts(s.stop - s.start, part[s]), size[s].astype(np.int64), wide[s], similarity)
             if out:
                 yield _emit(out)
 
     return link
 
 
+def _compare_sets(similarity: float, words: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> list[tuple[int, int]]:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows < 2:
+                return []
+            classes, part = rows.column(1).to_numpy().view(np.uint64), rows.column(2).to_numpy()
+            wide = np.frombuffer(b"".join(rows.column(4).to_pylist()), "<u8").reshape(len(part), -1)
+            return link_sets(classes, _Parts(len(part), part), wide, [shingle_set(t, words) for t in rows.column(5).to_pylist()], similarity)
+
+        for batch in batches:
+            run = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.nonzero(np.diff(run))[0] + 1, [len(run)])).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0].column(0)[0].as_py() != run[a]:
+                    if out := done():
+                        yield _emit(out)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held and (out := done()):
+            yield _emit(out)
+
+    return link
+
+
+def grouped_links(rows: DataFrame, facts: DataFrame, compare) -> DataFrame:
+    """(a, b): links that join, in every group, the classes that compare connects; no pair of a group is left out.
+
+    rows(no, key, class, n): the groups' members with the size of their group. facts: one row per class with what
+    compare reads behind (run, class, part). Groups of up to LARGE_GROUP members meet in one task. Larger ones are dealt over
+    blocks first, and most of a group of copies is one part then. Where parts remain, the members outside the largest
+    part, in blocks, meet every block of the group once more. So a task holds two blocks at most, a group of copies
+    costs about its size, and only a group whose members do not link costs the square of its blocks.
+    """
+    half = max(1, LARGE_GROUP // 2)
+    names = [c for c in facts.columns if c != "class"]
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        runs = dealt.join(facts, "class").select("run", "class", "part", *names)
+        return settle(runs.repartition("run").sortWithinPartitions("run", "class").mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+
+    blocks = F.when(F.col("n") <= LARGE_GROUP, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("bigint")
+    # a run is told by a hash; if two runs shared one, more pairs would be compared
+    first = rows.select(F.xxhash64("no", "key", F.pmod(F.xxhash64("class", "no"), blocks)).alias("run"), "class", F.col("class").alias("part"))
+    links = compared(first)
+    wide = rows.where(F.col("n") > LARGE_GROUP)
+    if wide.isEmpty():
+        return links
+    nodes = connected_components(links).withColumnRenamed("node", "class").withColumnRenamed("root", "part")
+    wide = settle(wide.join(nodes, "class", "left").withColumn("part", F.coalesce("part", "class")), "wide")
+    parts = wide.groupBy("no", "key", "part").agg(F.count("*").alias("c"))
+    groups = parts.groupBy("no", "key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    ceil = lambda c: F.ceil(c / half).cast("bigint")
+    groups = groups.select("no", "key", "n", F.col("most.part").alias("main"), ceil(F.col("most.c")).alias("mains"), ceil(F.col("n") - F.col("most.c")).alias("others"))
+    rest = join_sized(wide.drop("n"), groups, ["no", "key"], wide.count())
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    at = F.xxhash64("class", "no", F.lit(1))
+    main_at, other_at = F.pmod(at, F.col("mains")), F.pmod(at, F.col("others"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    as_main = F.transform(upto(F.col("others")), lambda j: cell(0, main_at, j))
+    as_other = F.concat(F.transform(upto(F.col("mains")), lambda i: cell(0, i, other_at)), F.transform(upto(F.col("others")), lambda j: cell(1, F.least(j, other_at), F.greatest(j, other_at))))
+    cells = rest.withColumn("cell", F.explode(F.when(F.col("part") == F.col("main"), as_main).otherwise(as_other)))
+    second = cells.select(F.xxhash64("no", "key", "cell").alias("run"), "class", "part")
+    return links.unionByName(compared(second)).distinct()
+
+
 def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame:
     """(a, b): links between distinct fingerprints fp of classes that join every group connected within `limit` bits."""
     masks = key_masks(limit, blocks)
@@ -344,21 +455,23 @@ def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame
     return dealt.mapInArrow(_link_sorted(limit), "a bigint, b bigint").distinct()
 
 
-def similar_links(prints: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join every group of classes(class, keys) connected by pairs that share a key and whose sets
-    of shingles, told by prints, have at least the similarity."""
+def similar_links(docs: DataFrame, text_col: str, classes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): links that join every group of classes(class, body, size, wide, keys) connected by pairs that share a key
+    and whose sets of shingles have at least the similarity; docs holds the texts that body names."""
     dealt = classes.select("class", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "class")
-    dealt = dealt.repartition("no", "key").sortWithinPartitions("no", "key", "class")
-    shared = settle(dealt.mapInArrow(_share_keys, "no bigint, key bigint, class bigint, first bigint"), "shared")
-    found = settle(connected_components(shared.select(F.col("first").alias("a"), F.col("class").alias("b"))), "found")
-    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    found = found.withColumnRenamed("node", "class").join(sizes, "root")
-    together = found.where(F.col("n") <= LARGE_GROUP).select(F.lit(-1).cast("bigint").alias("no"), F.col("root").alias("key"), "class")
-    by_key = shared.join(found.where(F.col("n") > LARGE_GROUP).select("class"), "class", "left_semi").select("no", "key", "class")
-    sets = prints.join(found.select("class"), "class", "left_semi").groupBy("class").agg(F.first("wide").alias("wide"), F.first("shingles").alias("shingles"))
-    runs = together.unionByName(by_key).join(sets, "class").select("no", "key", "class", "wide", "shingles")
-    runs = runs.repartition("no", "key").sortWithinPartitions("no", "key", "class")
-    return runs.mapInArrow(_link_sets(similarity), "a bigint, b bigint").distinct()
+    counts = dealt.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settle(join_sized(dealt, counts, ["no", "key"], classes.count() * BANDS), "shared")
+    near = connected_components(grouped_links(shared, classes.select("class", "size", "wide"), _compare_wide(similarity)))
+    near = settle(near.withColumnRenamed("node", "class"), "near")
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
+    groups = join_sized(near, sizes, ["root"], near.count()).select(F.lit(0).cast("bigint").alias("no"), F.col("root").alias("key"), "class", "n")
+    # one text for each class that is left: copies fall together before they are sent
+    wanted = near.select("class").join(classes, "class").select("class", "body", "size", "wide")
+    texts = docs.select(body_hash(text_col).alias("body"), F.col(text_col).alias("text")).groupBy("body").agg(F.first("text").alias("text"))
+    facts = settle(wanted.join(texts, "body").select("class", "size", "wide", "text"), "facts")
+    links = grouped_links(settle(groups, "groups"), facts, _compare_sets(similarity, words))
+    unsettle(shared)
+    return links
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, blocks: int = 6, similarity: float | None = None) -> DataFrame:
@@ -370,21 +483,24 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id get a row each. A null id takes part and belongs to its group, but names a group only where it has
     no other id. An empty table gives an empty result; extra columns are ignored.
     """
+    first = [F.min("id").alias("first_id"), F.count("*").alias("n")]
     if similarity is None:
-        prints = settle(fingerprints(df, id_col, text_col, words), "prints")
-        by = "fp"
-        classes = settle(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+        prints, by = settle(fingerprints(df, id_col, text_col, words), "prints"), "fp"
+        classes = settle(prints.groupBy("fp").agg(*first), "classes")
         links = near_links(classes, limit, blocks)
     else:
         prints, by = settle(wide_fingerprints(df, id_col, text_col, words), "prints"), "class"
-        classes = settle(prints.groupBy("class").agg(F.min("id").alias("first_id"), F.first("keys").alias("keys")), "classes")
-        links = similar_links(prints, classes, similarity)
-        prints, classes = prints.select("id", "fp", "class"), classes.select("class", "first_id")
+        facts = settle(prints.groupBy("class").agg(*first, F.min("body").alias("body"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "classes")
+        links = similar_links(df, text_col, facts, similarity, words)
+        prints, classes = prints.select("id", "fp", "class"), facts.select("class", "first_id", "n")
     nodes = connected_components(links)
-    linked = classes.join(nodes.withColumnRenamed("node", by), by, "left").withColumn("root", F.coalesce("root", by))
-    roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(roots, "root").select(by, "component_id")
-    return prints.join(named, by).select(F.col("id").alias(id_col), "fp", "component_id")
+    # what is linked to nothing names itself; the others learn the smallest identifier of their root
+    joined = settle(classes.join(nodes.withColumnRenamed("node", by), by, "left"), "named")
+    linked = joined.where("root IS NOT NULL")
+    roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    named = join_sized(linked, roots, ["root"], linked.count(), "members").select(by, "component_id", "n")
+    named = named.unionByName(joined.where("root IS NULL").select(by, F.col("first_id").alias("component_id"), "n"))
+    return join_sized(prints, named, [by], prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 4, blocks: int = 6, similarity: float | None = 0.8) -> DataFrame:
