@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 #: Bound of the training sample: so many labelled documents, the first by a hash of their identifier.
 TRAIN_DOCS = 4000
-#: Longer documents are left out of the training sample (never out of scoring).
+#: Documents with more characters or lines are left out of the training sample (never out of scoring), so that the
+#: sample has at most TRAIN_DOCS * TRAIN_LINES lines.
 TRAIN_CHARS = 200_000
+TRAIN_LINES = 1000
 #: In training a longer document counts as several chains of so many lines.
 CHAIN = 64
-STEPS = 240
+#: Most iterations of the fit, the steps that its curvature remembers, and the slope at which it ends.
+STEPS, MEMORY, FLAT = 120, 8, 1e-5
 THRESHOLD = 0.3
 
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -73,7 +76,11 @@ class LineCrf:
 
     def marginals(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """P(good) of every line of every chain of features."""
-        return [g for g, _ in _forward_backward(self, chains)]
+        if not chains:
+            return []
+        sizes = np.array([len(c) for c in chains])
+        good, _, _ = _forward_backward(np.vstack(chains) @ self.weights, self.moves, _padded(sizes))
+        return np.split(good, np.cumsum(sizes)[:-1])
 
     def shares(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted share of good text of every document."""
@@ -86,50 +93,91 @@ class LineCrf:
         return 1 / (1 + np.exp(-(slope * np.log(share / (1 - share)) + offset)))
 
 
-def _forward_backward(model: LineCrf, chains: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every chain: P(good) by line and the expected counts of the four moves. Chains of similar length run together."""
-    out: list = [None] * len(chains)
-    moves = np.exp(model.moves - model.moves.max())
-    order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-    at = 0
+def _padded(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, live) of chains of similar length that run together: places[t, j] is the line at step t of the j-th
+    chain among all lines, live whether there is one."""
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    out, at = [], 0
     while at < len(order):
-        longest = len(chains[order[at]]) * 5 // 4 + 4
-        group = [i for i in order[at : at + 512] if len(chains[i]) <= longest]
-        at += len(group)
-        sizes = np.array([len(chains[i]) for i in group])
-        steps, n = int(sizes.max()), len(group)
-        emit = np.ones((steps, n, 2))
-        for j, i in enumerate(group):
-            s = np.clip(chains[i] @ model.weights, -30, 30)
-            emit[: len(s), j, 1] = 1 / (1 + np.exp(-s))
-            emit[: len(s), j, 0] = 1 / (1 + np.exp(s))
+        stop = min(at + 4096, int(np.searchsorted(sizes[order], sizes[order[at]] * 5 // 4 + 4, side="right")))
+        group = order[at:stop]
+        steps = np.arange(sizes[group[-1]])[:, None]
+        live = steps < sizes[group]
+        out.append((starts[group] + np.where(live, steps, 0), live))
+        at = stop
+    return out
+
+
+def _forward_backward(scores: np.ndarray, moves: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(P(good) by line, expected counts of the four moves, log of the sum over all labellings) for lines' scores of
+    "good" over "bad" in chains."""
+    scores = np.clip(scores, -30, 30)
+    up = 1 / (1 + np.exp(-scores))
+    top = moves.max()
+    factors = np.exp(moves - top)
+    good, total, log = np.empty(len(scores)), np.zeros((2, 2)), float(np.log1p(np.exp(scores)).sum())
+    for places, live in groups:
+        steps, n = places.shape
+        emit = np.stack([1 - up[places], up[places]], axis=2)
+        emit[~live] = 1.0
         ahead, back = np.empty_like(emit), np.empty_like(emit)
-        state = emit[0] / emit[0].sum(axis=1, keepdims=True)
-        ahead[0] = state
+        ahead[0] = state = emit[0]  # already sums to 1
         for t in range(1, steps):
-            state = (state @ moves) * emit[t]
-            state /= state.sum(axis=1, keepdims=True)
-            ahead[t] = state
+            state = (state @ factors) * emit[t]
+            norm = state.sum(axis=1, keepdims=True)
+            ahead[t] = state = state / norm
+            log += float(np.log(norm[live[t]]).sum()) + top * int(live[t].sum())
         state = np.full((n, 2), 0.5)
         for t in range(steps - 1, -1, -1):
-            state = np.where((sizes - 1 > t)[:, None], state, 0.5)
             back[t] = state
-            state = (emit[t] * state) @ moves.T
+            state = (emit[t] * state) @ factors.T
             state /= state.sum(axis=1, keepdims=True)
+            if t and not live[t].all():
+                state[~live[t]] = 0.5
         both = ahead * back
-        both /= both.sum(axis=2, keepdims=True)
-        pairs = ahead[:-1, :, :, None] * moves * (emit[1:] * back[1:])[:, :, None, :]
+        good[places[live]] = (both[..., 1] / both.sum(axis=2))[live]
+        pairs = ahead[:-1, :, :, None] * factors * (emit[1:] * back[1:])[:, :, None, :]
         pairs /= np.maximum(pairs.sum(axis=(2, 3), keepdims=True), 1e-300)
-        live = np.arange(1, steps)[:, None] < sizes
-        total = (pairs * live[:, :, None, None]).sum(axis=0)
-        for j, i in enumerate(group):
-            out[i] = both[: sizes[j], j, 1], total[j]
-    return out
+        total += pairs[live[1:]].sum(axis=0)
+    return good, total, log
+
+
+def _climb(value_and_slope, theta: np.ndarray, steps: int) -> np.ndarray:
+    """A maximum of a concave function by limited-memory quasi-Newton steps with halving."""
+    value, slope = value_and_slope(theta)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() < FLAT:
+            break
+        way, kept = slope.copy(), []
+        for moved, bent in reversed(past):
+            share = moved @ way / (moved @ bent)
+            way -= share * bent
+            kept.append((share, moved, bent))
+        if past:
+            moved, bent = past[-1]
+            way *= moved @ bent / (bent @ bent)
+        for share, moved, bent in reversed(kept):
+            way += (share - bent @ way / (moved @ bent)) * moved
+        rise, length = slope @ way, 1.0 if past else min(1.0, 1 / np.abs(slope).sum())
+        for _ in range(30):
+            new, new_slope = value_and_slope(theta + length * way)
+            if new >= value + 1e-4 * length * rise:
+                break
+            length /= 2
+        else:
+            break
+        moved, bent = length * way, slope - new_slope
+        if moved @ bent > 1e-12:
+            past = [*past[-(MEMORY - 1) :], (moved, bent)]
+        theta, value, slope = theta + moved, new, new_slope
+    return theta
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS, decay: float = 1e-4) -> LineCrf:
-    """Maximum likelihood of the lines' labels by Adam, then the document curve. One class alone, or no document at
-    all, gives a model that scores every text with the share of label 1 (0.5 without documents)."""
+    """Maximum likelihood of the lines' labels, then the document curve. One class alone, or no document at all, gives a
+    model that scores every text with the share of label 1 (0.5 without documents)."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip((y.sum() + 1) / (len(y) + 2), 1e-3, 1 - 1e-3))
@@ -139,19 +187,20 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int
         for a in range(0, len(x), CHAIN):
             chains.append(x[a : a + CHAIN])
             truth.append(label)
-    lines = np.vstack(chains)
-    gold = np.repeat(np.array(truth, float), [len(c) for c in chains])
+    lines, sizes = np.vstack(chains), np.array([len(c) for c in chains])
+    gold = np.repeat(np.array(truth, float), sizes)
     gold_moves = np.zeros((2, 2))
-    for c, label in zip(chains, truth, strict=True):
-        gold_moves[label, label] += len(c) - 1
-    theta = np.zeros(WIDTH + 4)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, steps + 1):
-        model = LineCrf(theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
-        got = _forward_backward(model, chains)
-        slope = np.concatenate([lines.T @ (gold - np.concatenate([g for g, _ in got])), (gold_moves - sum(m for _, m in got)).ravel()]) / len(lines) - decay * theta
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        theta = theta + 0.15 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
+    for n, label in zip(sizes, truth, strict=True):
+        gold_moves[label, label] += n - 1
+    groups = _padded(sizes)
+
+    def value_and_slope(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        moves, scores = theta[WIDTH:].reshape(2, 2), lines @ theta[:WIDTH]
+        good, total, log = _forward_backward(scores, moves, groups)
+        value = (gold @ scores + (gold_moves * moves).sum() - log) / len(lines) - decay * (theta @ theta) / 2
+        return value, np.concatenate([lines.T @ (gold - good), (gold_moves - total).ravel()]) / len(lines) - decay * theta
+
+    theta = _climb(value_and_slope, np.zeros(WIDTH + 4), steps)
     model = LineCrf(theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
     share = np.clip(model.shares(docs), 1e-6, 1 - 1e-6)
     z = np.column_stack([np.log(share / (1 - share)), np.ones(len(share))])
@@ -169,15 +218,18 @@ def remainder(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS) -> LineCrf:
-    """Fit on at most `limit` labelled documents outside the held-out fifth. Null labels and ids are left out; only
-    line features and labels of the sample reach the driver."""
+    """Fit on at most `limit` labelled documents outside the held-out fifth. Null labels and ids are left out, of rows
+    that repeat an id the smallest text counts, and of labels that repeat one the largest; texts beyond TRAIN_CHARS or
+    TRAIN_LINES are left out. Only line features and labels of the sample reach the driver."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").where(F.coalesce(F.length("_text"), F.lit(0)) <= TRAIN_CHARS)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    sample = sample.where(F.coalesce(F.length("_text"), F.lit(0)) <= TRAIN_CHARS).groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"), F.max("_label").alias("_label"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            frame = frame[frame["_text"].str.count("\n") < TRAIN_LINES]
             made = [line_features(t) for t in frame["_text"]]
             yield pd.DataFrame({"key": frame["_id"].astype(str), "label": (frame["_label"] > 0).astype("int32"), "x": [x.astype("<f4").tobytes() for x, _ in made], "n": [n.astype("<f4").tobytes() for _, n in made]})
 
@@ -210,6 +262,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score below THRESHOLD, all columns as they were."""
+    """docs without the rows that score below THRESHOLD, all columns as they were. Null and empty texts and texts of any
+    length are scored like others, rows that repeat stay or go together, an empty table gives an empty result."""
     hidden = "_line_crf_score"
+    while hidden in docs.columns:
+        hidden += "_"
     return scored(docs, train(docs, labels, id_col, text_col), text_col, hidden).where(F.col(hidden) >= THRESHOLD).drop(hidden)
