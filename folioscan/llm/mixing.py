@@ -3,8 +3,9 @@
 Every document draws an exponential key from a hash of its identifier, divided by its quality weight; sorted by that
 key within its source, documents are a weighted sample without replacement at every prefix. A source's target is
 split into complete epochs, which take every document, and a fraction, which takes the prefix whose words add up to
-the rest. Prefix sums are two-level: sums by (source, bin of the key) first, then a running sum inside a bin, so that
-a source with a third of all rows is spread over as many tasks as there are bins.
+the rest. Prefix sums are two-level. Rows are range-partitioned by source and key with sampled splitters, so that bins
+hold about equally many rows whatever the weights, the identifiers or the sources are; sums by bin come first, then a
+running sum inside a bin. A source with a third of all rows is spread over a third of the bins.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import WORD, settle, word_count
+from folioscan.llm.common import WORD, join_sized, settle, unsettle, word_count
 
-#: Bins of a source's key range; a bin's rows meet in one task.
-BINS = 4096
+#: Mean rows of a bin, whose rows meet in one task, and the most bins.
+BIN_ROWS, BINS = 8192, 4096
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 #: Most copies of a document.
@@ -62,8 +63,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     size is the number of words (null text: 0), copies how often the document is in the mix, taken = copies * size.
     quality: a positive weight per row from df's columns, by default text_quality; null, zero and negative weights
     count as 0.001. The last document of a fraction is taken if its middle is within the rest, so a source misses its
-    target by half of one document at most. Keys come from hashes: reruns agree. Rows that repeat an identifier have
-    equal keys and are ordered by size; full ties are one bin's rows in any order, with equal columns. Documents
+    target by half of one document at most. Keys come from hashes: reruns agree. Rows that repeat an identifier with
+    equal weights have equal keys and are ordered by size; full ties are taken in any order, with equal columns. Documents
     without words are taken with every complete epoch and in the fraction where the prefix ends behind them. Null
     sources are one source; an empty table gives an empty result. Extra columns are ignored.
     """
@@ -71,19 +72,25 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     weight = F.when(weight > 0, weight.cast("double")).otherwise(F.lit(0.001))
     slim = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"))
     key = -F.log(uniform(F.col("id"), F.lit(seed))) / F.col("weight")
-    # 1 - exp(-key) spreads keys evenly over the bins, whatever the number of rows; a bin is monotone in the key
-    bin_no = F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int")
-    slim = settle(slim.withColumn("key", key).withColumn("bin", bin_no).drop("weight"), "mix")
-    bins = slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, cap)
-    named = lambda c, k: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n")).alias(k)
-    plan = bins.select(named("source", "s"), "bin", "before").join(targets.select(named("source", "s"), "source_size", "target"), "s")
-    rows = slim.withColumn("s", named("source", "s")).join(plan, ["s", "bin"])
-    within = Window.partitionBy("s", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # the row number tells full ties apart, which are equal in all other columns; null sources are named apart
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    slim = settle(slim.select("id", "source", named.alias("s"), "size", key.alias("key"), F.monotonically_increasing_id().alias("row")), "mix")
+    rows = slim.count()
+    order = ["key", "id", "size", "row"]
+    bins = max(1, min(BINS, -(-rows // BIN_ROWS)))
+    ranged = settle(slim.repartitionByRange(bins, "s", *order).withColumn("bin", F.spark_partition_id()), "ranged")
+    unsettle(slim)
+    sums = ranged.groupBy("s", "bin").agg(F.sum("size").alias("bin_size"), F.count("*").alias("n"), F.first("source").alias("source"))
+    upto = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, cap)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("s"), "source_size", "target")
+    plan = sums.select("s", "bin", "before", "n").join(targets, "s")
+    within = Window.partitionBy("s", "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.withColumn("upto", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = join_sized(run.select("id", "size", "s", "bin", "upto"), plan, ["s", "bin"], rows)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("epochs", epochs)
+    rows = rows.withColumn("start", F.col("before") + F.col("upto")).withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     copies = F.least(F.col("epochs") + F.when(F.col("start") + F.col("size") / 2 < rest, 1).otherwise(0), F.lit(int(cap)))
     rows = rows.withColumn("copies", copies)

@@ -51,6 +51,15 @@ def test_exact_dedup(spark, keep):
     assert "rangepartitioning" in plan and "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_dedup_of_one_row_repeated(spark, keep):
+    rows = [(7, "the same", "s")] * 900 + [(None, "nobody", "s")] * 900 + [(k, str(k), "s") for k in range(900)]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(6), keep=keep)
+    assert Counter(tuple(x) for x in got.collect()) == brute_dedup(rows, keep)
+    dealt = exact_dedup.exact_dedup(docs(spark, rows), keep=keep)._jdf.queryExecution().toString()
+    assert "row#" in dealt  # salts come from rows, not from identifiers
+
+
 def test_exact_dedup_parameters(spark):
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(docs(spark, AWKWARD), keep="first")
@@ -115,6 +124,19 @@ def test_heavier_documents_come_first(spark):
     assert share(True) > 1.5 * share(False)
 
 
+def test_mix_spreads_low_weights_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 100)
+    rows = [(k, "12 34 56", "a") for k in range(3000)] + [(None, "w w", "a")] * 1500 + [(5000 + k, "word", f"b{k % 7}") for k in range(500)]
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    assert len(got) == 5000
+    sizes = {"a": 12000, **{f"b{k}": sum(1 for j in range(500) if j % 7 == k) for k in range(7)}}
+    want = fill(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}, 3)
+    taken = sum(x.taken for x in got if x.doc_id is None or x.doc_id < 5000)
+    assert abs(taken - want["a"]) <= 3
+    again = mixing.mix_sources(docs(spark, rows[::-1])).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
 def test_mix_awkward(spark):
     got = mixing.mix_sources(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and all(x.taken <= 3 * x.size and not math.isnan(x.target) for x in got)
