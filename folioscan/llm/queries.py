@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.chat import END, GUARD, MAX_TURNS, NOBODY, SYSTEM, rotate_perspectives
+from folioscan.llm.chat import END, MAX_TURNS, NOBODY, SYSTEM, rotate_perspectives
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.html_text import extract_pages
 from folioscan.llm.line_crf import quality_scores
@@ -118,25 +118,24 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-OP9_SQL = f"""
+OP9_SQL = rf"""
 WITH t AS (
-  SELECT conv_id, CAST(floor(coalesce(turn, 0) / {MAX_TURNS}.0) AS BIGINT) AS part, turn,
-    coalesce(replace(replace(replace(role, '<|', '<{GUARD}|'), '"', ''''), chr(10), ' '), '{NOBODY}') AS name,
-    replace(coalesce(text, ''), '<|', '<{GUARD}|') AS body FROM conversations),
+  SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS body,
+    coalesce(regexp_replace(replace(replace(replace(role, '\', '\\'), '"', '\"'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g'), '{NOBODY}') AS name FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, body) AS k FROM t),
 p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> '{SYSTEM}'),
 v AS (
-  SELECT t.*, p.perspective, t.name = p.perspective AS own,
-    CASE WHEN t.name = p.perspective THEN '<|assistant|>' WHEN t.name = '{SYSTEM}' THEN '<|system|>'
-      ELSE '<|user name="' || t.name || '"|>' END || chr(10) AS header
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  SELECT r.*, (k - 1) // {MAX_TURNS} AS part, p.perspective, r.name = p.perspective AS own,
+    CASE WHEN r.name = p.perspective THEN '<|assistant|>' WHEN r.name = '{SYSTEM}' THEN '<|system|>'
+      ELSE '<|user name="' || r.name || '"|>' END || chr(10) AS header
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, row_number() OVER w AS k,
-    sum(length(header) + length(body) + {len(END) + 1}) OVER w - length(body) - {len(END) + 1} AS start
-  FROM v WINDOW w AS (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, name, body ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, part, perspective, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_own,
-  CAST(sum(length(header) + length(body) + {len(END) + 1}) AS BIGINT) AS n_chars,
+  SELECT *, sum(length(header) + length(body) + {len(END) + 1}) OVER w - length(body) - {len(END) + 1} AS own_start
+  FROM v WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(part AS BIGINT) AS part, perspective, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_own,
+  CAST(sum(length(header) + length(body) + {len(END) + 1}) AS BIGINT) AS n_chars, CAST(min(own_start - length(header)) AS BIGINT) AS start,
   string_agg(header || body || '{END}' || chr(10), '' ORDER BY k) AS rendered,
-  coalesce(string_agg(CASE WHEN own THEN CAST(start AS VARCHAR) || '-' || CAST(start + length(body) + {len(END)} AS VARCHAR) END, ',' ORDER BY k), '') AS mask
+  coalesce(string_agg(CASE WHEN own THEN CAST(own_start AS VARCHAR) || '-' || CAST(own_start + length(body) + {len(END)} AS VARCHAR) END, ',' ORDER BY k), '') AS mask
 FROM o GROUP BY conv_id, part, perspective
 """
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -215,39 +216,54 @@ TURNS = [
 def brute_views(turns, max_turns=256):
     out = Counter()
     convs = defaultdict(list)
+    guard = lambda s: re.sub(r"<(\\*)\|", r"<\\\1|", s)
     for cid, turn, role, text in turns:
-        name = (role or "unknown").replace("<|", "<​|").replace('"', "'").replace("\n", " ")
-        convs[cid].append((-1 if turn is None else turn, name, (text or "").replace("<|", "<​|")))
+        name = "unknown" if role is None else guard(role.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n"))
+        convs[cid].append((-1 if turn is None else turn, name, guard(text or "")))
     for cid, ts in convs.items():
-        parts = defaultdict(list)
-        for t in sorted(ts):
-            parts[max(t[0], 0) // max_turns].append(t)
+        ts.sort()
         for who in {t[1] for t in ts} - {"system"}:
-            for part, own in parts.items():
-                said, mask = "", []
+            whole = ""
+            for part in range(-(-len(ts) // max_turns)):
+                own, begin, mask = ts[part * max_turns : (part + 1) * max_turns], len(whole), []
                 for _, name, text in own:
-                    said += "<|assistant|>\n" if name == who else "<|system|>\n" if name == "system" else f'<|user name="{name}"|>\n'
+                    whole += "<|assistant|>\n" if name == who else "<|system|>\n" if name == "system" else f'<|user name="{name}"|>\n'
                     if name == who:
-                        mask.append((len(said), len(said) + len(text) + 7))
-                    said += text + "<|end|>\n"
-                out[(cid, part, who, len(own), len(mask), len(said), said, tuple(mask))] += 1
+                        mask.append((len(whole), len(whole) + len(text) + 7))
+                    whole += text + "<|end|>\n"
+                out[(cid, part, who, len(own), len(mask), len(whole) - begin, begin, whole[begin:], tuple(mask))] += 1
     return out
 
 
+def views(frame, **options):
+    return Counter((*r[:8], tuple((s.start, s.stop) for s in r.mask)) for r in chat.rotate_perspectives(frame, **options).collect())
+
+
 def test_chat(spark):
     rows = spark.createDataFrame([(*t, "x", 1) for t in TURNS], "conv_id long, turn long, role string, text string, part string, k long")
-    got = chat.rotate_perspectives(rows)
-    assert Counter((*r[:7], tuple((s.start, s.stop) for s in r.mask)) for r in got.collect()) == brute_views(TURNS)
+    assert views(rows) == brute_views(TURNS)
     assert chat.rotate_perspectives(rows.limit(0)).count() == 0
-    plan = got._jdf.queryExecution().toString()
+    plan = chat.rotate_perspectives(rows)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_long_conversations_continue(spark):
-    turns = [(1, k, "ann" if k % 2 else "bob", f"t{k}") for k in range(600)]
-    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = Counter((*r[:7], tuple((s.start, s.stop) for s in r.mask)) for r in chat.rotate_perspectives(rows).collect())
-    assert got == brute_views(turns) and len(got) == 6
+def test_names_and_marks_stay_apart(spark):
+    turns = [(1, 0, 'a"b', "one <|user|> <\\\\|x"), (1, 1, "a'b", "two"), (1, 2, 'a\\"b', "three"), (1, 3, "a\nb", "four"), (1, 4, "a b", "five")]
+    got = views(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert got == brute_views(turns) and len(got) == 5 and all(k[4] == 1 for k in got)
+    text = next(k[7] for k in got)
+    assert "one <\\|user|> <\\\\\\|x<|end|>" in text
+
+
+def test_long_conversations_are_one_rendering(spark):
+    r = random.Random(6)
+    turns = [(1, k * 1000, "ann" if k % 2 else "bob", f"t{k}") for k in range(600)]  # sparse numbers, three rows of a rendering
+    turns += [(2, r.randrange(40), r.choice(["a", "b", "system", "c" if k > 30 else "a"]), str(r.random())) for k in range(90)]
+    turns += [(3, None, "ann", str(k)) for k in range(300)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = views(frame)
+    assert got == brute_views(turns) and sum(k[0] == 1 for k in got) == 6
+    assert views(frame, max_turns=7) == brute_views(turns, 7)
 
 
 # --- vector search -------------------------------------------------------------------------------------------------
