@@ -60,16 +60,16 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def join_sized(rows: DataFrame, table: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+def join_sized(rows: DataFrame, table: DataFrame, keys: list[str], total: int, count: str = "n", how: str = "inner") -> DataFrame:
     """rows joined with table, which has one row for each of the keys and in `count` how many of the rows that key has;
     total: the number of rows. Large keys, of which there are LARGE_SHARE * partitions at most, are broadcast, so that
-    none of them meets in one task; the others are shuffled. Keys must not be null."""
+    none of them meets in one task; the others are shuffled. how: "inner" or "left". Keys must not be null."""
     limit = max(LARGE_LEAST, total // (LARGE_SHARE * partitions(rows.sparkSession)))
     more = [c for c in table.columns if c not in keys]
     large = table.where(F.col(count) > limit).select(*keys, F.struct(*more).alias("_large"))
     marked = rows.join(F.broadcast(large), keys, "left")
     spread = marked.where("_large IS NOT NULL").select(*rows.columns, *[F.col(f"_large.{c}").alias(c) for c in more])
-    small = marked.where("_large IS NULL").select(*rows.columns).join(table.where(F.col(count) <= limit), keys)
+    small = marked.where("_large IS NULL").select(*rows.columns).join(table.where(F.col(count) <= limit), keys, how)
     return spread.unionByName(small.select(*rows.columns, *more))
 
 

@@ -9,7 +9,7 @@ from folioscan.llm.chat import END, MAX_TURNS, NOBODY, SYSTEM, rotate_perspectiv
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.html_text import extract_pages
 from folioscan.llm.line_crf import quality_scores
-from folioscan.llm.line_dedup import MIN_SITES, MIN_VARIETY, dedup_lines
+from folioscan.llm.line_dedup import MIN_SITES, dedup_lines
 from folioscan.llm.mixing import mix_sources
 from folioscan.llm.packing import pack_documents
 from folioscan.llm.secrets import scan_secrets
@@ -104,11 +104,9 @@ WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
     unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
 m AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-c AS (SELECT *, coalesce(lag(line) OVER w, chr(10)) || chr(11) || coalesce(lead(line) OVER w, chr(10)) AS around FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-b AS (SELECT line FROM c WHERE line <> '' GROUP BY line
-  HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT around) >= {MIN_VARIETY} * count(*)),
+b AS (SELECT line FROM m WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT text) > 1),
 k AS (SELECT doc_id, CAST(count(*) FILTER (WHERE line IN (FROM b)) AS BIGINT) AS n_removed,
-    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (FROM b)), '') AS kept FROM c GROUP BY doc_id)
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (FROM b)), '') AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, n_removed, CAST(length(kept) AS BIGINT) AS n_kept_chars, sha256(kept) AS kept_sha256 FROM k
 """
 

@@ -380,7 +380,7 @@ def test_line_dedup_awkward(spark):
     assert out.count() == 9 and set(out.columns) == set(docs.columns) | {"n_removed"}
     assert {r.kept_text for r in out.where("doc_id = 2").collect()} == {""}
     assert line_dedup.dedup_lines(awkward(spark, empty=True)).count() == 0
-    removed = line_dedup.dedup_lines(docs, min_sites=1, min_variety=0.0)
+    removed = line_dedup.dedup_lines(docs, min_sites=1, spare_copies=False)
     assert {r.kept_text.strip() for r in removed.collect()} == {""}
 
 
