@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +44,26 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
+    for written in _passing:
+        written.append(out)
     return out
 
 
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that settle() writes inside are deleted at the end, but for those that are taken from the list."""
+    written: list[DataFrame] = []
+    _passing.append(written)
+    try:
+        yield written
+    finally:
+        _passing.pop()
+        unsettle(*written)
+
+
 def unsettle(*frames: DataFrame) -> None:
     """Delete tables written by settle(); a no-op for other frames."""
     for df in frames:
