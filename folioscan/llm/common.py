@@ -37,11 +37,22 @@ def partitions(spark: SparkSession) -> int:
     return int(value) if value.isdecimal() else spark.sparkContext.defaultParallelism
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no rework."""
+#: Rows of a batch that carries whole texts to Python; the default would put ten thousand texts into one.
+TEXT_ROWS = 512
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def settle(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no rework.
+    batch_rows: rows of the batches that go to Python meanwhile."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(_ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(_ARROW_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     for written in _passing:

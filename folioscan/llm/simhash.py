@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import connected_components, join_sized, settle, unsettle
+from folioscan.llm.common import TEXT_ROWS, connected_components, join_sized, settle, unsettle
 
 BITS = 64
 #: Reference fingerprints of the pivot table.
@@ -418,7 +418,7 @@ def grouped_links(rows: DataFrame, facts: DataFrame, compare) -> DataFrame:
 
     def compared(dealt: DataFrame) -> DataFrame:
         runs = dealt.join(facts, "class").select("run", "class", "part", *names)
-        return settle(runs.repartition("run").sortWithinPartitions("run", "class").mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+        return settle(runs.repartition("run").sortWithinPartitions("run", "class").mapInArrow(compare, "a bigint, b bigint").distinct(), "links", TEXT_ROWS if "text" in names else None)
 
     blocks = F.when(F.col("n") <= LARGE_GROUP, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("bigint")
     # a run is told by a hash; if two runs shared one, more pairs would be compared
@@ -455,9 +455,9 @@ def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame
     return dealt.mapInArrow(_link_sorted(limit), "a bigint, b bigint").distinct()
 
 
-def similar_links(docs: DataFrame, text_col: str, classes: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(a, b): links that join every group of classes(class, body, size, wide, keys) connected by pairs that share a key
-    and whose sets of shingles have at least the similarity; docs holds the texts that body names."""
+def similar_links(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): links that join every group of classes(class, one, size, wide, keys) connected by pairs that share a key
+    and whose sets of shingles have at least the similarity; one names a row of docs by identifier and text."""
     dealt = classes.select("class", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "class")
     counts = dealt.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(join_sized(dealt, counts, ["no", "key"], classes.count() * BANDS), "shared")
@@ -465,10 +465,11 @@ def similar_links(docs: DataFrame, text_col: str, classes: DataFrame, similarity
     near = settle(near.withColumnRenamed("node", "class"), "near")
     sizes = near.groupBy("root").agg(F.count("*").alias("n"))
     groups = join_sized(near, sizes, ["root"], near.count()).select(F.lit(0).cast("bigint").alias("no"), F.col("root").alias("key"), "class", "n")
-    # one text for each class that is left: copies fall together before they are sent
-    wanted = near.select("class").join(classes, "class").select("class", "body", "size", "wide")
-    texts = docs.select(body_hash(text_col).alias("body"), F.col(text_col).alias("text")).groupBy("body").agg(F.first("text").alias("text"))
-    facts = settle(wanted.join(texts, "body").select("class", "size", "wide", "text"), "facts")
+    # one text for each class that is left: that of its first row, or of equal ones
+    wanted = near.select("class").join(classes, "class").select("class", "size", "wide", F.col("one.id").alias("_id"), F.col("one.body").alias("_body"))
+    texts = docs.select(F.col(id_col).alias("_id"), body_hash(text_col).alias("_body"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, texts["_id"].eqNullSafe(wanted["_id"]) & (texts["_body"] == wanted["_body"]))
+    facts = settle(found.select("class", "size", "wide", "text").dropDuplicates(["class"]), "facts")
     links = grouped_links(settle(groups, "groups"), facts, _compare_sets(similarity, words))
     unsettle(shared)
     return links
@@ -485,13 +486,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     first = [F.min("id").alias("first_id"), F.count("*").alias("n")]
     if similarity is None:
-        prints, by = settle(fingerprints(df, id_col, text_col, words), "prints"), "fp"
+        prints, by = settle(fingerprints(df, id_col, text_col, words), "prints", TEXT_ROWS), "fp"
         classes = settle(prints.groupBy("fp").agg(*first), "classes")
         links = near_links(classes, limit, blocks)
     else:
-        prints, by = settle(wide_fingerprints(df, id_col, text_col, words), "prints"), "class"
-        facts = settle(prints.groupBy("class").agg(*first, F.min("body").alias("body"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "classes")
-        links = similar_links(df, text_col, facts, similarity, words)
+        prints, by = settle(wide_fingerprints(df, id_col, text_col, words), "prints", TEXT_ROWS), "class"
+        facts = settle(prints.groupBy("class").agg(*first, F.min(F.struct("id", "body")).alias("one"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "classes")
+        links = similar_links(df, id_col, text_col, facts, similarity, words)
         prints, classes = prints.select("id", "fp", "class"), facts.select("class", "first_id", "n")
     nodes = connected_components(links)
     # what is linked to nothing names itself; the others learn the smallest identifier of their root
