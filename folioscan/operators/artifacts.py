@@ -82,6 +82,20 @@ def _fields(keys, v: str = "v") -> dict[str, Column]:
     return {k: get(v, k) for k in keys}
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+
+
+def _finding_id(v: str | Column, place: Column) -> Column:
+    return F.coalesce(string(v, "id"), F.concat(F.lit("<missing-"), place.cast("string"), F.lit(">")))
+
+
+def _required(v: str | Column) -> Column:
+    """Whether a signal must be rendered; it must by default."""
+    flag = get(v, "render_required")
+    return F.when(flag.isNull(), True).otherwise(F.coalesce(F.try_variant_get(flag, "$", "boolean"), ~empty(flag)))
+
+
 def finding_ids(bundles: DataFrame) -> DataFrame:
     """(bundle_id, id): a finding without an id is named by its place."""
     rows = elements(bundles, "findings", "findings")
@@ -203,9 +217,7 @@ def audit_manifest(bundles: DataFrame) -> DataFrame:
 def numeric_signals(bundles: DataFrame) -> DataFrame:
     """(bundle_id, ord, v, is_object, required): signals with the default that they must be rendered."""
     rows = _objects(bundles, "numeric_audit").select("bundle_id", F.posexplode(array(get("v", "signals"))).alias("k", "v"))
-    rows = rows.select("bundle_id", (F.col("k") + 1).alias("ord"), "v", F.coalesce(kind(F.col("v")) == "OBJECT", F.lit(False)).alias("is_object"))
-    flag = get("v", "render_required")
-    return rows.withColumn("required", F.when(flag.isNull(), True).otherwise(F.coalesce(F.try_variant_get(flag, "$", "boolean"), ~empty(flag))))
+    return rows.select("bundle_id", (F.col("k") + 1).alias("ord"), "v", _is_object(F.col("v")).alias("is_object"), _required("v").alias("required"))
 
 
 def audit_signals(bundles: DataFrame) -> DataFrame:
@@ -225,38 +237,56 @@ def audit_signals(bundles: DataFrame) -> DataFrame:
     )
 
 
-def audit_rendering(bundles: DataFrame, items: DataFrame) -> DataFrame:
-    """Signals that must be rendered against the report: its text has table, values and a token of the row label; an
-    issue item about numbers with the values and the place is a Blocker. Joined by bundle, so no pair crosses bundles."""
-    text = lambda k: T.compact(string("v", k))
-    names = ("signal_id", "table_id", "row_label", "reported_value", "visible_computed_value", "required_severity")
-    rows = numeric_signals(bundles).where("is_object AND required").select("bundle_id", "ord", *[text(k).alias(k) for k in names]).withColumn("tokens", T.label_tokens(F.col("row_label")))
-    pages = bundles.where("html IS NOT NULL").select("bundle_id", T.compact(F.col("html")).alias("page"))
-    rows = rows.join(pages, "bundle_id")
-    lacks = lambda k: (F.col(k) != "") & ~F.contains("page", F.col(k))
-    unlabelled = (F.size("tokens") > 0) & ~F.exists("tokens", lambda t: F.contains("page", t))
-    missing = F.concat_ws(", ", *[F.when(lacks(k), F.lit(k)) for k in ("table_id", "reported_value", "visible_computed_value")], F.when(unlabelled, F.lit("row_label")))
-    rows = rows.withColumn("missing", missing)
-    key = F.trim(F.concat(F.coalesce(F.nullif("signal_id", F.lit("")), F.concat(F.lit("signal #"), F.col("ord").cast("string"))), F.lit(" "), "table_id", F.lit(" "), "row_label", F.lit(" reported="), "reported_value", F.lit(" computed="), "visible_computed_value"))
-    issues = items.where((F.col("kind") == "issue") & (F.col("issue_type") == "numeric") & (F.lower("severity") == "blocker")).select("bundle_id", F.col("text").alias("said"))
-    shown = rows.where("missing = '' AND required_severity = 'Blocker'").drop("page")
-    matched = shown.join(issues, "bundle_id").where(
-        (F.col("reported_value") != "") & (F.col("visible_computed_value") != "") & F.contains("said", F.col("reported_value")) & F.contains("said", F.col("visible_computed_value"))
-        & (((F.col("table_id") != "") & F.contains("said", F.col("table_id"))) | F.exists("tokens", lambda t: F.contains("said", t)))
-    )
-    return all_messages(
-        messages(rows.where("missing <> ''"), F.col("bundle_id"), "D16", key, F.col("missing")),
-        messages(shown.join(matched.select("bundle_id", "ord").distinct(), ["bundle_id", "ord"], "left_anti"), F.col("bundle_id"), "D17", key, F.lit("no Blocker beside it")),
+def rendering_messages() -> Column:
+    """Signals that must be rendered against the row's report: its text has table, values and a token of the row label;
+    an issue item about numbers with the values and the place is a Blocker."""
+    signals = F.filter(F.transform(array(get(F.try_parse_json("numeric_audit"), "signals")), lambda s, k: F.struct(s.alias("v"), (k + 1).alias("ord"))), lambda x: _is_object(x["v"]) & _required(x["v"]))
+    page = T.compact(F.col("html"))
+    issues = F.transform(html_report.of_kind("issue", lambda i: (i["issue_type"] == "numeric") & (F.lower(i["severity"]) == "blocker")), lambda i: i["text"])
+
+    def judged(x: Column, page: Column) -> Column:
+        said = {k: T.compact(string(x["v"], k)) for k in ("signal_id", "table_id", "row_label", "reported_value", "visible_computed_value", "required_severity")}
+        tokens = T.label_tokens(said["row_label"])
+        any_in = lambda text: F.exists(tokens, lambda t: F.contains(text, t))
+        lacks = [F.when((said[k] != "") & ~F.contains(page, said[k]), F.lit(k)) for k in ("table_id", "reported_value", "visible_computed_value")]
+        missing = F.concat_ws(", ", *lacks, F.when((F.size(tokens) > 0) & ~any_in(page), F.lit("row_label")))
+        number = F.coalesce(F.nullif(said["signal_id"], F.lit("")), F.concat(F.lit("signal #"), x["ord"].cast("string")))
+        key = F.trim(F.concat(number, F.lit(" "), said["table_id"], F.lit(" "), said["row_label"], F.lit(" reported="), said["reported_value"], F.lit(" computed="), said["visible_computed_value"]))
+        values = (said["reported_value"] != "") & (said["visible_computed_value"] != "")
+        beside = lambda text: F.contains(text, said["reported_value"]) & F.contains(text, said["visible_computed_value"]) & (((said["table_id"] != "") & F.contains(text, said["table_id"])) | any_in(text))
+        blocker = values & F.exists(issues, beside)
+        lost = html_report.message("D16", key, missing)
+        unmarked = html_report.message("D17", key, F.lit("no Blocker beside it"))
+        return F.when(missing != "", lost).when((said["required_severity"] == "Blocker") & ~blocker, unmarked)
+
+    found = T.let(page, lambda text: F.transform(signals, lambda x: judged(x, text)))
+    return F.filter(found, lambda m: m.isNotNull())
+
+
+def link_messages(ids: Column) -> Column:
+    """Rendered sections and findings against the ids of the row's report."""
+    manifest = F.try_parse_json("render_manifest")
+    whole = F.when(kind(manifest) == "OBJECT", manifest)
+    shown = F.filter(array(get(whole, "sections")), lambda s: F.coalesce(string(s, "status") == "rendered", F.lit(False)))
+    sections = F.filter(F.transform(shown, lambda s: string(s, "id")), lambda i: F.coalesce(i != "", F.lit(False)))
+    put_off = array(get(whole, "deferred_findings")).cast("array<string>")
+    payload_ = F.try_parse_json("findings")
+    listed = F.when(kind(payload_) == "ARRAY", array(payload_)).otherwise(array(get(payload_, "findings")))
+    placed = F.filter(F.transform(listed, lambda f, k: F.struct(f.alias("v"), k.alias("k"))), lambda x: _is_object(x["v"]))
+    findings = F.transform(placed, lambda x: _finding_id(x["v"], x["k"] + 1))
+    lost = lambda found, rule, words: F.transform(found, lambda i: html_report.message(rule, i, F.lit(words)))
+    return F.concat(
+        lost(F.array_except(sections, ids), "D18", "no such id in the report"),
+        lost(F.array_except(findings, F.concat(ids, put_off)), "D19", "neither rendered nor deferred"),
     )
 
 
-def audit_links(bundles: DataFrame, items: DataFrame) -> DataFrame:
-    """Rendered sections and findings against the report's ids."""
-    with_page = bundles.where("html IS NOT NULL").select("bundle_id")
-    ids = items.where("kind = 'id'").select("bundle_id", F.col("element_id").alias("id")).distinct()
-    sections = rendered_sections(bundles).where("id IS NOT NULL AND id <> ''").distinct().join(with_page, "bundle_id", "left_semi").join(ids, ["bundle_id", "id"], "left_anti")
-    lost = finding_ids(bundles).join(with_page, "bundle_id", "left_semi").join(all_messages(ids, deferred(bundles)).distinct(), ["bundle_id", "id"], "left_anti")
-    return all_messages(messages(sections, F.col("bundle_id"), "D18", F.col("id"), F.lit("no such id in the report")), messages(lost, F.col("bundle_id"), "D19", F.col("id"), F.lit("neither rendered nor deferred")))
+def audit_reports(bundles: DataFrame) -> DataFrame:
+    """All messages about the bundles' reports, which are parsed once: the page's own rules, the rendering of signals,
+    and the links of sections and findings."""
+    rows = html_report.with_items(bundles.where("html IS NOT NULL").select("bundle_id", "html", "findings", "numeric_audit", "render_manifest"))
+    rows = rows.withColumn("ids", html_report.page_ids())
+    return html_report.told(rows, F.concat(html_report.page_messages(F.col("ids")), rendering_messages(), link_messages(F.col("ids"))))
 
 
 def with_files(bundles: DataFrame) -> DataFrame:
@@ -267,6 +297,4 @@ def with_files(bundles: DataFrame) -> DataFrame:
 def audit(bundles: DataFrame) -> DataFrame:
     """All messages of bundles(bundle_id, and a column for each of FILES and html that there is)."""
     rows = with_files(bundles)
-    items = html_report.html_items(rows.where("html IS NOT NULL").select("bundle_id", "html"))
-    parts = [f(rows) for f in (audit_findings, audit_claims, audit_signals, audit_coverage, audit_manifest, audit_observations)]
-    return all_messages(*parts, html_report.audit(rows.where("html IS NOT NULL").select("bundle_id", "html"), items), audit_rendering(rows, items), audit_links(rows, items))
+    return all_messages(*[f(rows) for f in (audit_findings, audit_claims, audit_signals, audit_coverage, audit_manifest, audit_observations, audit_reports)])

@@ -13,12 +13,15 @@ from folioscan.operators.quality import all_messages
 def entries(docs: DataFrame) -> DataFrame:
     """(doc_id, entry_no, type, key, fields): entries of bibliography text. Of a repeated field the last value counts;
     only braced and quoted values are read."""
-    text = F.col("text")
-    zipped = F.arrays_zip(T.find_all(text, P.BIB_ENTRY, 1).alias("type"), T.find_all(text, P.BIB_ENTRY, 2).alias("key"), T.find_all(text, P.BIB_ENTRY, 3).alias("body"))
-    rows = docs.select("doc_id", F.posexplode(zipped).alias("entry_no", "e")).select("doc_id", "entry_no", F.lower("e.type").alias("type"), F.trim("e.key").alias("key"), F.col("e.body").alias("body"))
-    body = F.col("body")
-    pairs = F.zip_with(T.find_all(body, P.BIB_FIELD, 1), F.zip_with(T.find_all(body, P.BIB_FIELD, 2), T.find_all(body, P.BIB_FIELD, 3), lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b, F.lit(""))), lambda k, v: F.struct(F.lower(k).alias("k"), T.one_line(v).alias("v")))
-    rows = rows.withColumn("p", pairs)
+    # the text is cut in front of every line that starts an entry; a piece without a head is something else
+    pieces = F.filter(F.split("text", P.ENTRY_START), lambda p: T.has(p, P.ENTRY_HEAD))
+    rows = docs.select("doc_id", F.posexplode(pieces).alias("entry_no", "piece"))
+    head = lambda group: F.regexp_extract("piece", P.ENTRY_HEAD, group)
+    start = F.regexp_instr("piece", F.lit(P.ENTRY_HEAD)) + F.length(head(0))
+    rows = rows.select("doc_id", "entry_no", F.lower(head(1)).alias("type"), F.trim(head(2)).alias("key"), F.substr("piece", start).alias("body"))
+    names, values = (T.find_all(F.col("body"), P.ASSIGNMENT, group) for group in (1, 2))
+    unwrapped = lambda v: T.one_line(F.substr(v, F.lit(2), F.length(v) - 2))
+    rows = rows.withColumn("p", F.zip_with(names, values, lambda k, v: F.struct(F.lower(k).alias("k"), unwrapped(v).alias("v"))))
     last = F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda y: y["k"] == x["k"]))
     return rows.select("doc_id", "entry_no", "type", "key", F.map_from_entries(last).alias("fields"))
 
