@@ -9,8 +9,7 @@ from folioscan.functions import patterns as P
 
 SPACE = r"(?U)\s+"
 _CODE_BEFORE_COMMENT = r"^([^%\\]*+(?:\\.[^%\\]*+)*+\\?)"
-_VERBATIM_BEGIN = r"\\begin\{(verbatim|lstlisting|minted)\}"
-_VERBATIM_END = r"\\end\{(verbatim|lstlisting|minted)\}"
+_VERBATIM_BEGIN, _VERBATIM_END = (rf"\\{side}\{{{P.one_of(P.VERBATIM)}\}}" for side in ("begin", "end"))
 
 
 def replace_all(text: Column, pattern: str, to: str = "") -> Column:
@@ -252,12 +251,13 @@ def plain_text(source: Column) -> Column:
     text = strip_comments(source)
     text = heads(text, P.TITLE, lambda m: F.concat(F.lit("\n\n# TITLE: "), one_line(F.regexp_extract(m, P.TITLE, 1)), F.lit("\n")))
     text = replace_all(replace_all(text, r"\\begin\{abstract\}", "\n\n## ABSTRACT\n"), r"\\end\{abstract\}", "\n")
-    text = replace_all(text, r"\\begin\{(figure|table|algorithm|equation|align|gather|multline)[*]?\}", "\n[$1]\n")
-    text = replace_all(text, r"\\end\{(figure|table|algorithm|equation|align|gather|multline)[*]?\}", "\n")
+    floats = "|".join(P.FLOATS)
+    text = replace_all(text, rf"\\begin\{{({floats})[*]?\}}", "\n[$1]\n")
+    text = replace_all(text, rf"\\end\{{(?:{floats})[*]?\}}", "\n")
     text = heads(text, P.SECTION_COMMAND, lambda m: F.concat(F.lit("\n\n## "), F.upper(F.regexp_extract(m, P.SECTION_COMMAND, 1)), F.lit(": "), one_line(F.regexp_extract(m, P.SECTION_COMMAND, 2)), F.lit("\n")))
     text = heads(text, P.CAPTION, lambda m: F.concat(F.lit("\nCAPTION: "), one_line(F.regexp_extract(m, P.CAPTION, 1)), F.lit("\n")))
     text = replace_all(text, r"\\item(?:\[[^\]]*\])?", "\n- ")
-    styled = rf"\\(?:textbf|emph|textit|underline|small|footnotesize|scriptsize){P.BRACED}"
+    styled = P.command(P.STYLES, P.BRACED)
     text = heads(text, styled, lambda m: one_line(F.regexp_extract(m, styled, 1)))
     text = replace_all(text, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", " ")
     text = replace_all(replace_all(replace_all(text, r"[{}]"), r"[ \t]+", " "), r"\n{3,}", "\n\n")

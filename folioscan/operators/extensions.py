@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.operators import quality
 
-#: Issue types that a report may use, and the sections of a report in their order.
-ISSUE_TYPES = ("numeric", "claim", "method", "experiment", "writing", "structure", "citation", "figure", "notation", "submission")
+# Issue types that a report may use, and the counts that ask for a section of their own.
+ISSUE_TYPES = ("math", "numeric", "evaluation", "claim", "layout", "checklist", "prose", "citation", "source", "submission")
 EXTRA_BLOCKERS, EXTRA_MAJORS = 2, 3
 
 

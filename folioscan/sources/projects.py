@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
 from folioscan.functions import text as T
+from folioscan.sources.shared import remove, written
 
 # Names that tell a project's layout.
 MAIN_NAMES = ("main.tex", "paper.tex", "ms.tex", "manuscript.tex")
@@ -120,32 +121,76 @@ def include_edges(files: DataFrame) -> DataFrame:
     return best.select("root", "src", "ord", F.coalesce("dst", "whole").alias("dst"), status.alias("status"))
 
 
+#: Jumps may be so many times as many as edges and reached nodes together.
+JUMPS = 2
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth): every node that a root reaches over edges(src, dst), by a recursive query. A node on its
-    own path is not followed again, so cycles end."""
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE reach(root, node, depth, path) AS (
-             SELECT root, root, 0, array(root) FROM {roots}
-             UNION ALL SELECT r.root, e.dst, r.depth + 1, concat(r.path, array(e.dst)) FROM reach r JOIN {edges} e ON e.src = r.node WHERE NOT array_contains(r.path, e.dst))
-           SELECT root, node, depth FROM reach""",
-        edges=edges,
-        roots=roots,
-    )
+    """(root, node, depth): every node that a root of roots(root) reaches over edges(src, dst), once, with the fewest
+    steps; cycles end, and neither the depth nor the number of edges is bounded.
+
+    Every round follows jumps from the nodes that the last one found. Jumps start as the edges and join to twice their
+    length while they stay few, so a deep graph takes a logarithmic number of rounds and a dense one no more room than
+    its result.
+    """
+    spark = edges.sparkSession
+    jumps, jumps_at = written(edges.select("src", "dst").distinct().where("src <> dst").withColumn("steps", F.lit(1)), "jumps")
+    reached, reached_at = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "reached")
+    front, front_at, n_edges, n_jumps, n_reached = reached, None, (n := jumps.count()), n, reached.count()
+    while True:
+        steps = front.join(jumps, front["node"] == jumps["src"]).select("root", F.col("dst").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+        new, new_at = written(steps.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(reached, ["root", "node"], "left_anti"), "front")
+        found = new.count()
+        if front_at:
+            remove(spark, front_at)
+        if not found:
+            remove(spark, jumps_at)
+            remove(spark, new_at)
+            return reached
+        whole, whole_at = written(reached.unionByName(new), "reached")
+        remove(spark, reached_at)
+        reached, reached_at, front, front_at, n_reached = whole, whole_at, new, new_at, n_reached + found
+        if n_jumps <= JUMPS * (n_edges + n_reached) and _pairs(jumps) <= 2 * JUMPS * (n_edges + n_reached):
+            a, b = jumps.alias("a"), jumps.alias("b")
+            twice = a.join(b, F.col("a.dst") == F.col("b.src")).where("a.src <> b.dst").select("a.src", "b.dst", (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+            longer, longer_at = written(jumps.unionByName(twice).groupBy("src", "dst").agg(F.min("steps").alias("steps")), "jumps")
+            remove(spark, jumps_at)
+            jumps, jumps_at, n_jumps = longer, longer_at, longer.count()
+
+
+def _pairs(jumps: DataFrame) -> int:
+    """How many pairs of jumps meet in a node."""
+    into, out = jumps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("a")), jumps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("b"))
+    return into.join(out, "node").agg(F.sum(F.col("a").cast("decimal(38,0)") * F.col("b"))).first()[0] or 0
 
 
 def include_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, place, repeated): the files of every entry in reading order; a file's later places are repeats and
-    stand for nothing. Places compare as arrays of positions, which is the depth-first order."""
-    walk = edges.sparkSession.sql(
-        """WITH RECURSIVE reach(root, node, place, path) AS (
-             SELECT root, root, array(0), array(root) FROM {roots}
-             UNION ALL SELECT r.root, e.dst, concat(r.place, array(e.ord)), concat(r.path, array(e.dst)) FROM reach r JOIN {edges} e ON e.src = r.node WHERE NOT array_contains(r.path, e.dst))
-           SELECT root, node, place FROM reach""",
-        edges=edges.where("status = 'ok'").select("src", "ord", "dst"),
-        roots=roots,
-    )
-    nth = F.row_number().over(Window.partitionBy("root", "node").orderBy("place"))
-    return walk.withColumn("repeated", nth > 1)
+    """(root, node, place, repeated): the files of every entry in reading order, at every include of a file that is
+    read; a file's later places are repeats and stand for nothing. Places compare as arrays of positions, which is the
+    depth-first order.
+
+    A file is read at its smallest place. Every round lengthens the places that have become smaller by one include and
+    keeps the smallest of each file, so the rounds grow with the depth and the rows with the files, not with the paths.
+    """
+    spark = edges.sparkSession
+    links = edges.where("status = 'ok'").select("src", "ord", "dst")
+    known, known_at = written(roots.select("root", F.col("root").alias("node"), F.array(F.lit(0)).alias("place")).distinct(), "places")
+    moved, moved_at = known, None
+    longer = lambda rows: rows.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("place", F.array("ord")).alias("place"))
+    while True:
+        least = longer(moved).groupBy("root", "node").agg(F.min("place").alias("place"))
+        before = known.select("root", "node", F.col("place").alias("old"))
+        better, better_at = written(least.join(before, ["root", "node"], "left").where("old IS NULL OR place < old").select("root", "node", "place"), "moved")
+        if moved_at:
+            remove(spark, moved_at)
+        if better.isEmpty():
+            break
+        whole, whole_at = written(known.join(better.select("root", "node"), ["root", "node"], "left_anti").unionByName(better), "places")
+        remove(spark, known_at)
+        known, known_at, moved, moved_at = whole, whole_at, better, better_at
+    sites = longer(known).unionByName(known.where(F.size("place") == 1))
+    first = known.select("root", "node", F.col("place").alias("first"))
+    return sites.distinct().join(first, ["root", "node"]).select("root", "node", "place", (F.col("place") != F.col("first")).alias("repeated"))
 
 
 def expanded(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

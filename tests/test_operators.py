@@ -1,6 +1,7 @@
 """Signals, bibliography, symbols, bundles, reports, drift and projects on small inputs of our own."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -213,6 +214,34 @@ def test_projects(spark):
     assert {(r.path, r.status) for r in bibs.collect()} == {("/p/a.bib", "ok"), ("/p/b.bib", "missing"), ("/q/z.bib", "fallback")}
 
 
+def test_deep_and_shared_includes(spark):
+    chain = [(k, k + 1) for k in range(500)] + [(500, 490)]
+    diamonds = [p for k in range(40) for p in ((1000 + 3 * k, 1001 + 3 * k), (1000 + 3 * k, 1002 + 3 * k), (1001 + 3 * k, 1003 + 3 * k), (1002 + 3 * k, 1003 + 3 * k))]
+    edges = spark.createDataFrame(chain + diamonds, "src long, dst long")
+    got = {(r.root, r.node): r.depth for r in projects.closure(edges, spark.createDataFrame([(0,), (1000,)], "root long")).collect()}
+    assert got == {(0, k): k for k in range(501)} | {(1000, 1000 + k): k // 3 * 2 + (k % 3 > 0) for k in range(121)}
+    assert projects.closure(edges.limit(0), spark.createDataFrame([(7,)], "root long")).collect() == [(7, 7, 0)]
+
+
+def test_reading_order_of_shared_files(spark):
+    texts = {f"/p/{k}.tex": f"<{k} \\input{{{k}a}} | \\input{{{k}b}} {k}>" for k in range(6)}
+    texts |= {f"/p/{k}{s}.tex": f"({k}{s} \\input{{{k + 1}}} {k}{s})" for k in range(6) for s in "ab"} | {"/p/6.tex": "end"}
+    files = spark.createDataFrame([("/p", p, t) for p, t in texts.items()], "root string, path string, text string")
+    roots = spark.createDataFrame([("/p/0.tex",)], "root string")
+    edges = projects.include_edges(files)
+    seen = set()
+
+    def read(path):
+        if path in seen:
+            return ""
+        seen.add(path)
+        return re.sub(r"\\input\{(\w+)\}", lambda m: read(f"/p/{m[1]}.tex"), texts[path])
+
+    assert "".join(projects.expanded(files, edges, roots).first().text.split()) == "".join(read("/p/0.tex").split())
+    order = projects.include_order(edges, roots).collect()
+    assert len(order) == 1 + 6 * 4 and sum(not r.repeated for r in order) == 19
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.tex").write_bytes(b"caf\xe9")
     row = projects.read_files(spark, str(tmp_path)).first()
