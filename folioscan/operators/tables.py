@@ -207,8 +207,12 @@ def signal_sentence() -> Column:
     return F.concat(F.lit("Signal ("), F.col("gap_tier"), F.lit(" gap "), two("gap_abs"), F.lit("pp / "), two("gap_rel_percent"), F.lit("%): "), F.col("table_id"), F.lit(", line "), F.col("line_no").cast("string"), F.lit(", row '"), F.col("row_label"), F.lit("': reported "), F.col("reported_value"), F.lit("; mean of "), F.col("component_count").cast("string"), F.lit(" cells = "), F.col("visible_computed_value"), F.lit("; delta "), F.col("delta"))
 
 
+#: What the payload says about itself.
+PAYLOAD_NOTE = "Means are recomputed from the printed cells; every signal needs a look at its table."
+
+
 def numeric_payload(signals: DataFrame) -> DataFrame:
-    """(doc_id, json): the signals of a document as one JSON object with their count."""
+    """(doc_id, json): the signals of a document as one JSON object with their count and a note."""
     item = F.struct(*[c for c in signals.columns if c != "doc_id"])
     grouped = signals.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("signals"))
-    return grouped.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("input"), F.size("signals").alias("signal_count"), "signals")).alias("json"))
+    return grouped.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("input"), F.size("signals").alias("signal_count"), "signals", F.lit(PAYLOAD_NOTE).alias("note"))).alias("json"))

@@ -331,7 +331,7 @@ def q35_candidate_rank(spark, sf_dir):
     return projects.best_candidate(_t(spark, sf_dir, "pages").select(host.alias("host"), "url", depth.alias("depth")), "host", ["depth", "url"]).select("host", "url", "depth")
 
 
-@_query("""WITH RECURSIVE up(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0
+@_query("""WITH RECURSIVE up(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer
   UNION ALL SELECT root, node // 2, depth + 1 FROM up WHERE node // 2 >= 1) SELECT root, node, CAST(depth AS INTEGER) AS depth FROM up""")
 def q36_include_closure(spark, sf_dir):
     keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
@@ -344,7 +344,9 @@ def q37_output_name(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", projects.output_name(F.col("url")).alias("name"))
 
 
-@_query()
+@_query(r"""SELECT CAST(page_id AS VARCHAR) AS bundle_id, CAST(len(regexp_extract_all(html, '</table>')) AS BIGINT) AS n_tables, CAST(len(regexp_extract_all(html, '<section[^>]* id="[^"]')) AS BIGINT) AS n_sections,
+  CAST(len(regexp_extract_all(html, ' href="#[^"]')) AS BIGINT) AS n_links, len(regexp_extract_all(html, '<p[ >]')) <> len(regexp_extract_all(html, '</p>')) AS unclosed
+FROM (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>', '', 'g') AS html FROM pages)""")
 def q38_html_structure(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("bundle_id"), "html")
     items = html_report.html_items(pages)

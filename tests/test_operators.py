@@ -183,6 +183,20 @@ def test_html_rules(spark):
         assert rule in got[k], k
 
 
+def test_reports_are_parsed_once(spark):
+    bundles = spark.createDataFrame([("b", "[]", "<p>x</p>")], "bundle_id string, findings string, html string")
+    for frame in (artifacts.audit(bundles), html_report.audit(bundles.select("bundle_id", "html"))):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_crossing_and_early_ends():
+    items = html_report.page_items('<p>a<li>b</p>c</li><div data-severity="x" data-issue-type="math">one<div>two</div>three</div><section id="s">x<section id="t">y</section>z</section>')
+    by = lambda kind: [i for i in items if i["kind"] == kind]
+    assert by("status") == [{"kind": "status", "unclosed": True}]
+    assert [i["text"] for i in by("issue")] == ["onetwo"]
+    assert {i["section_id"]: i["text"] for i in by("section")} == {"s": "x yz", "t": "y"}
+
+
 def test_drift(spark):
     runs = spark.createDataFrame([("s", json.dumps([finding(), finding(id=None, location=" L ", claim_type="T"), finding(id="F3")]), json.dumps({"findings": [finding(severity="Blocker"), finding(id="F4"), finding(id="F3", severity_rationale=""), finding(id="F3")]}))], "bundle_id string, a string, b string")
     a, b = drift.findings(runs, "a"), drift.findings(runs, "b")
