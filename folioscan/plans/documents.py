@@ -128,7 +128,7 @@ def q75_numeric_payload(spark, sf_dir):
 
 @_query(f"""WITH {_LINES}, v AS (SELECT doc_id, max(q) FILTER (WHERE r = 1) AS a, max(q) FILTER (WHERE r = 2) AS b, max(q) FILTER (WHERE r = 3) AS c, max(q) FILTER (WHERE r = 4) AS d FROM l WHERE n >= 4 GROUP BY doc_id),
 g AS (SELECT doc_id, d AS reported, (a + b + c) / 3 AS computed FROM v WHERE {_PLAIN})
-SELECT doc_id, 'Signal (' || {_TIER} || ' gap' AS head, 'pp / ' || printf('%.2f', abs(reported - computed) / greatest(abs(computed), 1e-9) * 100) || '%): Table 7, line 3, row ''Alpha'': reported ' || printf('%.2f', reported) || '; mean of 3 cells = ' || printf('%.2f', computed) || '; delta ' || printf('%+.2f', reported - computed) AS rest FROM g""")
+SELECT doc_id, 'Signal (' || {_TIER} || ' gap' AS head, 'pp / ' || printf('%.2f', round(abs(reported - computed) / greatest(abs(computed), 1e-9) * 100, 4)) || '%): Table 7, line 3, row ''Alpha'': reported ' || printf('%.2f', reported) || '; mean of 3 cells = ' || printf('%.2f', computed) || '; delta ' || printf('%+.2f', reported - computed) AS rest FROM g""")
 def q76_signal_sentences(spark, sf_dir):
     """Every signal as a sentence, without its absolute gap."""
     said = tables.line_signals(_column_texts(spark, sf_dir)).select("doc_id", tables.signal_sentence().alias("s"))
