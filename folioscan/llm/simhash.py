@@ -37,7 +37,7 @@ BITS = 64
 PIVOTS = 16
 #: Shingles hashed at once; bounds the memory a very long text needs.
 CHUNK = 1 << 15
-#: Rows of a key from which it is dealt anew over finer keys before its rows are compared one by one.
+#: Rows from which those of one key are dealt anew over finer keys before they are compared one by one.
 LARGE_RUN = 2048
 #: Rows of a batch between the sorted scan and its links.
 BATCH = 1 << 16
@@ -280,9 +280,10 @@ def link_sets(classes: np.ndarray, parts: _Parts, wide: np.ndarray, sets: list[n
     return out
 
 
-def link_run(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links that join all of fps (distinct, one key) that are connected by pairs within `limit` bits."""
-    parts, out = _Parts(len(fps)), []
+def link_run(fps: np.ndarray, limit: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all of fps (distinct, one key) that are connected by pairs within `limit` bits; known: the parts
+    that they belong to already."""
+    parts, out = _Parts(len(fps), known), []
     if len(fps) > LARGE_RUN:
         for mask in key_masks(limit, 2 * limit):
             keys = fps & np.uint64(mask)
@@ -325,13 +326,17 @@ def _emit(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
 
-def _link_sorted(limit: int):
+def _compare_bits(limit: int):
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        run, fps, part = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        return [run, run, fps, part]
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = ([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)
-        for no, key, fps in _whole_runs(plain):
-            fps, starts = fps.view(np.uint64), _run_starts(no, key)
+        for run, _, fps, part in _whole_runs(columns(b) for b in batches if b.num_rows):
+            fps, starts = fps.view(np.uint64), _run_starts(run, run)
             sizes = np.diff(starts)
             twos = starts[:-1][sizes == 2]
+            twos = twos[part[twos] != part[twos + 1]]
             a, b = fps[twos], fps[twos + 1]
             near = np.ones(len(a), bool)
             for ref in _REFERENCES[:, 0]:
@@ -340,7 +345,8 @@ def _link_sorted(limit: int):
             near = np.bitwise_count(a ^ b) <= limit
             out = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
             for at in np.nonzero(sizes > 2)[0].tolist():
-                out += link_run(fps[starts[at] : starts[at + 1]], limit)
+                s = slice(starts[at], starts[at + 1])
+                out += link_run(fps[s], limit, part[s])
             if out:
                 yield _emit(out)
 
@@ -404,20 +410,20 @@ def _compare_sets(similarity: float, words: int):
     return link
 
 
-def grouped_links(rows: DataFrame, facts: DataFrame, compare) -> DataFrame:
+def grouped_links(rows: DataFrame, facts: DataFrame | None, compare) -> DataFrame:
     """(a, b): links that join, in every group, the classes that compare connects; no pair of a group is left out.
 
     rows(no, key, class, n): the groups' members with the size of their group. facts: one row per class with what
-    compare reads behind (run, class, part). Groups of up to LARGE_GROUP members meet in one task. Larger ones are dealt over
+    compare reads behind (run, class, part), if anything. Groups of up to LARGE_GROUP members meet in one task. Larger ones are dealt over
     blocks first, and most of a group of copies is one part then. Where parts remain, the members outside the largest
     part, in blocks, meet every block of the group once more. So a task holds two blocks at most, a group of copies
     costs about its size, and only a group whose members do not link costs the square of its blocks.
     """
     half = max(1, LARGE_GROUP // 2)
-    names = [c for c in facts.columns if c != "class"]
+    names = [c for c in facts.columns if c != "class"] if facts else []
 
     def compared(dealt: DataFrame) -> DataFrame:
-        runs = dealt.join(facts, "class").select("run", "class", "part", *names)
+        runs = (dealt.join(facts, "class") if facts else dealt).select("run", "class", "part", *names)
         return settle(runs.repartition("run").sortWithinPartitions("run", "class").mapInArrow(compare, "a bigint, b bigint").distinct(), "links", TEXT_ROWS if "text" in names else None)
 
     blocks = F.when(F.col("n") <= LARGE_GROUP, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("bigint")
@@ -450,17 +456,21 @@ def near_links(classes: DataFrame, limit: int = 4, blocks: int = 6) -> DataFrame
     masks = key_masks(limit, blocks)
     signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    dealt = classes.select("fp", F.explode(keys).alias("k")).select(F.col("k.no").alias("no"), F.col("k.key").alias("key"), "fp")
-    dealt = dealt.repartition("no", "key").sortWithinPartitions("no", "key", "fp")
-    return dealt.mapInArrow(_link_sorted(limit), "a bigint, b bigint").distinct()
+    dealt = classes.select(F.col("fp").alias("class"), F.explode(keys).alias("k")).select(F.col("k.no").alias("no"), F.col("k.key").alias("key"), "class")
+    return grouped_links(shared_keys(dealt, classes.count() * len(masks)), None, _compare_bits(limit))
+
+
+def shared_keys(dealt: DataFrame, total: int) -> DataFrame:
+    """The rows (no, key, class) of dealt, total in number, whose key others have too, with the key's size n."""
+    counts = dealt.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return settle(join_sized(dealt, counts, ["no", "key"], total), "shared")
 
 
 def similar_links(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b): links that join every group of classes(class, one, size, wide, keys) connected by pairs that share a key
     and whose sets of shingles have at least the similarity; one names a row of docs by identifier and text."""
     dealt = classes.select("class", F.posexplode("keys").alias("no", "key")).select(F.col("no").cast("bigint").alias("no"), "key", "class")
-    counts = dealt.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settle(join_sized(dealt, counts, ["no", "key"], classes.count() * BANDS), "shared")
+    shared = shared_keys(dealt, classes.count() * BANDS)
     near = connected_components(grouped_links(shared, classes.select("class", "size", "wide"), _compare_wide(similarity)))
     near = settle(near.withColumnRenamed("node", "class"), "near")
     sizes = near.groupBy("root").agg(F.count("*").alias("n"))
