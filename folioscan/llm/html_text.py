@@ -16,6 +16,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -51,6 +52,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
     "nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Whether any element of a page could be told by a name, or is a form.
+_TOLD = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?:" + "|".join(sorted(FURNITURE | HEADERS, key=len)) + r")|<form\b")
 #: Elements whose words do not tell where a page's text lies.
 MUTE = (NEVER - {"form"}) | {"a"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,8 +86,8 @@ def _furniture(tag: str, attributes: str, in_main: bool, exempt: bool = False) -
     return bool(found - HEADERS or found and not in_main or "header" in names and not in_main or _HIDDEN.search(attributes))
 
 
-def wrappers(page: str) -> frozenset[int]:
-    """Places of the start tags whose names do not count (nor that it is a form), as the element holds the page's largest
+def wrappers(tokens: list[re.Match], length: int) -> frozenset[int]:
+    """Places of the start tags, among a page's tokens, whose names do not count (nor that it is a form), as the element holds the page's largest
     article or main, or, where there is none, more than half of the words outside links and is not told as readers'
     comments."""
     stack: list[tuple[str, int, int, bool, bool]] = []  # tag, place, words before, whether named, whether of readers
@@ -102,7 +105,7 @@ def wrappers(page: str) -> frozenset[int]:
                 mains.append((words - before, place, end))
         del stack[at:]
 
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         tag = m[3]
         if tag is None:
             if not mute and (m[0][0] != "<" or m[0] == "<"):
@@ -119,7 +122,7 @@ def wrappers(page: str) -> frozenset[int]:
             mute += tag in MUTE
             names = _names(m[4]) if m[4] else frozenset()
             stack.append((tag, m.start(), words, tag == "form" or bool(names & (FURNITURE | HEADERS)), bool(names & READERS)))
-    close(0, len(page))
+    close(0, length)
     if mains:
         _, at, end = max(mains, key=lambda x: (x[0], -x[1]))
         return frozenset(a for a, b, _, _ in found if a <= at and end <= b)
@@ -134,8 +137,9 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
     stack: list[tuple[str, bool]] = []  # open elements: tag, whether it starts furniture
     depth = links = main = 0
     prose = False  # whether the open link is a paragraph's
-    exempt = wrappers(page) if _NAMED.search(page) or "<form" in page.lower() else frozenset()
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    exempt = wrappers(tokens, len(page)) if _TOLD.search(page) else frozenset()
+    for m in tokens:
         tag = m[3]
         if tag is None:
             piece = m[0]
@@ -232,6 +236,7 @@ LEAST, MOST, TAG_MOST = 0.05, 3.0, 1.5
 PRIOR = 20
 
 
+@cache
 def learned_weights() -> dict[str, float]:
     """Log-odds of every class by the labelled pages: positive for words, negative for links and tags. "<" stands for
     tags that no labelled page has."""
