@@ -204,7 +204,9 @@ def words(text: Column) -> Column:
 
 
 def citation_marks(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(P.CITATION_MARK)), F.lit(0)).cast("bigint")
+    """Citations in running text. Every shape has a bracket, so a text without any is not searched."""
+    bracketed = F.contains(text, F.lit("[")) | F.contains(text, F.lit("("))
+    return F.coalesce(F.when(bracketed, F.regexp_count(text, F.lit(P.CITATION_MARK))), F.lit(0)).cast("bigint")
 
 
 def per_thousand(cites: Column, n_words: Column) -> Column:

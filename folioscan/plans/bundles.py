@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators import artifacts, extensions, html_report
+from folioscan.functions import text as T
+from folioscan.operators import artifacts, drift, extensions, html_report, signals, tables
 from folioscan.plans.catalogue import ORACLE_SQL, QUERIES, _query, _t
+from folioscan.sources import projects
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -225,3 +227,63 @@ def x12_issue_types(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("method", "writing", "math", "prose")]), (key % 4 + 1).cast("int"))
     pages = _t(spark, sf_dir, "customer").select(key.cast("string").alias("bundle_id"), F.concat(F.lit('<div data-severity="minor" data-issue-type="'), kind, F.lit('">x</div>')).alias("html"))
     return extensions.unknown_issue_types(html_report.html_items(pages)).select("bundle_id", "issue_type")
+
+
+# --- runs and small functions -----------------------------------------------------------------------------------------
+
+
+def _run(spark, sf_dir, second: bool) -> DataFrame:
+    """Every customer's findings in one of two runs; a third of them have no id and are named by place and claim type."""
+    rows, key = _orders(spark, sf_dir), F.col("o_orderkey")
+    severity = F.when(F.lit(second) & (key % 7 == 0), "Blocker").otherwise(F.col("severity"))
+    reason = F.when((key % 5 == 0) & F.lit(second), "").otherwise("why")
+    item = F.struct(F.when(key % 3 != 0, F.concat(F.lit("F"), key.cast("string"))).alias("id"), F.concat(F.lit(" L"), key.cast("string")).alias("location"), F.lit("Type").alias("claim_type"), severity.alias("severity"), reason.alias("severity_rationale"))
+    return _listed(rows.where(key % 11 != 0) if second else rows, item, "findings")
+
+
+_RANK = "CASE {} WHEN 'Polish' THEN 0 WHEN 'Minor' THEN 1 WHEN 'Major' THEN 2 WHEN 'Blocker' THEN 3 END"
+
+
+@_query(f"""WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS scope, o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN 'F' || o_orderkey ELSE 'l' || o_orderkey || '::type' END AS key, {_SEVERITY_SQL} AS a FROM orders),
+b AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'Blocker' ELSE a END AS s FROM f)
+SELECT scope, key, 'only_in_first' AS kind, CAST(NULL AS VARCHAR) AS detail FROM b WHERE k % 11 = 0
+UNION ALL SELECT scope, key, 'severity', a || ' -> ' || s || ' (distance ' || coalesce(CAST(abs({_RANK.format('a')} - {_RANK.format('s')}) AS VARCHAR), 'unknown') || ')' FROM b WHERE k % 11 <> 0 AND a <> s
+UNION ALL SELECT scope, key, 'rationale', 'true -> false' FROM b WHERE k % 11 <> 0 AND k % 5 = 0""")
+def q78_finding_drift(spark, sf_dir):
+    """Two runs of findings as JSON, with and without ids."""
+    first, second = (drift.findings(_run(spark, sf_dir, later)) for later in (False, True))
+    return drift.compare(first, second).where("scope IS NOT NULL").select("scope", "key", "kind", "detail")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END AS pages, CASE WHEN p_size % 2 = 0 THEN 'tool' WHEN p_size % 3 = 0 THEN 'library' END AS source, CASE WHEN p_size % 4 = 0 THEN 99 ELSE 2 END AS depth, 'abc,d_e,fgh-1,ijk' AS tokens,
+  CASE p_size % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.05 ELSE 0.005 END AS tolerance, CASE WHEN p_size >= 20 THEN 'deterministic' WHEN p_size >= 5 THEN 'likely_error' ELSE 'ambiguous' END AS tier FROM part""".replace("CASE WHEN p_size % 2 = 0 THEN p_size END AS pages", "CASE WHEN p_size % 2 = 0 THEN p_size WHEN p_size % 3 = 0 THEN 7 END AS pages"))
+def q79_small_functions(spark, sf_dir):
+    """Page counts with their source, depths, tokens, tolerances and tiers."""
+    size = F.col("p_size").cast("int")
+    pages, source = projects.page_count(("tool", F.when(size % 2 == 0, size)), ("library", F.when(size % 3 == 0, 7)))
+    depth = T.path_depth(F.concat(F.when(size % 4 == 0, "/other").otherwise("/root"), F.lit("/a/b.tex")), F.lit("/root"))
+    tokens = T.label_tokens(F.lit("ab abc d_e (fgh-1) ijk lmn"))
+    gap = T.gap(F.lit(1000.0) + size / 10, F.lit(1000.0))["tier"]
+    return _t(spark, sf_dir, "part").select("p_partkey", pages.alias("pages"), source.alias("source"), depth.alias("depth"), F.array_join(tokens, ",").alias("tokens"), T.tolerance(size % 3).alias("tolerance"), gap.alias("tier"))
+
+
+@_query("""SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS n_signals FROM part""")
+def q80_year_like(spark, sf_dir):
+    """A summary that reads like a year or a page is skipped, as is a numbered line of prose."""
+    last = F.when(F.col("p_size") % 2 == 0, "2020.5").otherwise("2020")
+    text = F.concat(F.lit("Table 1 x\nModel Part Part Part Avg.\nAlpha 1.5 2.5 3.5 "), last, F.lit("\n7 items 1.5 2.5 9.5\nline 1.5 2.5 3.5 9.5"))
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    found = tables.line_signals(docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_signals"))
+
+
+@_query("""WITH l AS (SELECT p_partkey AS doc_id, p_name, p_type FROM part)
+SELECT doc_id, '00 headings' AS section, 1 AS ord, 'Abstract' AS item FROM l UNION ALL SELECT doc_id, '01 captions', 1, 'Figure 4: shows ' || p_type || ' parts' FROM l
+UNION ALL SELECT doc_id, '02 numbers', 1, 'mean of 3 cells = 2.50; delta +7.00' FROM l UNION ALL SELECT doc_id, '04 placeholders', 1, 'line 2: ??' FROM l
+UNION ALL SELECT doc_id, '05 todos', 1, 'line 2: TODO' FROM l UNION ALL SELECT doc_id, '06 identity', 1, 'email: u' || doc_id || '@example.com' FROM l""")
+def q81_text_summary(spark, sf_dir):
+    """The summary of extracted text, its numbers by their last part."""
+    text = F.concat_ws("\n", F.lit("Abstract"), F.lit("we say TODO ??"), F.concat(F.lit("Figure 4: shows "), F.col("p_type"), F.lit(" parts")), F.lit("Table 3 x"), F.lit("Model Part Part Part Avg."), F.lit("Alpha 1.50 2.50 3.50 9.50"), F.concat(F.lit("mail u"), F.col("p_partkey").cast("string"), F.lit("@example.com")))
+    docs = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    found = signals.summary(docs, "pdf").where("section <> '03 words'")
+    return found.select("doc_id", "section", "ord", F.coalesce(F.nullif(F.regexp_extract("item", r"(mean of 3 cells.*)$", 1), F.lit("")), "item").alias("item"))
