@@ -6,12 +6,13 @@ over all bundles at once; cross checks are anti joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import html_report
-from folioscan.operators.quality import all_messages, expected_members, messages, required_fields, unique_key
+from folioscan.operators.html_report import message, message_if, told
+from folioscan.operators.quality import all_messages, expected_members, messages, required_fields
 
 # Fixed values of the bundle's contract.
 SEVERITIES = ("Blocker", "Major", "Minor", "Polish")
@@ -102,41 +103,50 @@ def finding_ids(bundles: DataFrame) -> DataFrame:
     return rows.select("bundle_id", F.coalesce(string("v", "id"), F.concat(F.lit("<missing-"), F.col("ord").cast("string"), F.lit(">"))).alias("id")).distinct()
 
 
+def missing(fields: dict[str, Column], rule: str, subject: Column, when: Column | None = None, empty=lambda c: c.isNull()) -> Column:
+    """An array of one message for each field that is empty, on rows where `when` holds."""
+    names = F.filter(F.array(*[F.when(empty(c), F.lit(k)) for k, c in fields.items()]), lambda k: k.isNotNull())
+    found = F.transform(names, lambda k: message(rule, subject, k))
+    return found if when is None else F.when(F.coalesce(when, F.lit(False)), found).otherwise(F.array().cast(html_report.MESSAGES))
+
+
+def numbered(rows: DataFrame, subject: Column) -> DataFrame:
+    """rows with columns subject and nth, the how manieth of its bundle the subject is."""
+    named = rows.withColumn("subject", subject)
+    return named.withColumn("nth", F.row_number().over(Window.partitionBy("bundle_id", "subject").orderBy("ord")))
+
+
 def audit_findings(bundles: DataFrame) -> DataFrame:
-    rows = elements(bundles, "findings", "findings")
-    scope, severity = F.col("bundle_id"), string("v", "severity")
-    subject = F.coalesce(string("v", "id"), F.concat(F.lit("<missing-"), F.col("ord").cast("string"), F.lit(">")))
+    """Findings are exploded once, and every finding makes all of its messages."""
+    rows = numbered(elements(bundles, "findings", "findings"), _finding_id("v", F.col("ord")))
+    subject, severity = F.col("subject"), string("v", "severity")
     numeric = get("v", "reported_value").isNotNull() | get("v", "visible_computed_value").isNotNull() | get("v", "delta").isNotNull()
     diagnosis, reported, computed = (F.coalesce(string("v", k), F.lit("")) for k in ("diagnosis", "reported_value", "visible_computed_value"))
     lacking = ~F.contains(diagnosis, reported) | ~F.contains(diagnosis, computed)
     both = (reported != "") & (computed != "")
     any_of = lambda text, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
-    of = lambda cond, rule, detail: messages(rows.where(F.coalesce(cond, F.lit(False))), scope, rule, subject, detail)
-    return all_messages(
-        _shape(bundles, "findings", "findings", "D0"),
-        unique_key(rows, scope, subject, F.col("ord"), "D1"),
-        required_fields(rows, scope, subject, _fields(FINDING_FIELDS), "D2", empty=empty),
-        messages(rows.where(~F.coalesce(severity.isin(*SEVERITIES), F.lit(False))), scope, "D3", subject, severity),
-        required_fields(rows, scope, subject, _fields(HIGH_RISK_FIELDS), "D4", when=severity.isin(*HIGH_RISK), empty=empty),
-        of(numeric & ~severity.eqNullSafe(F.lit("Blocker")), "D5", severity),
-        required_fields(rows, scope, subject, _fields(NUMERIC_FIELDS), "D6", when=numeric, empty=empty),
-        of(numeric & both & lacking, "D7", F.lit("diagnosis lacks the reported or computed value")),
-        of(numeric & both & lacking & any_of(F.lower(diagnosis), DIRECTIVE), "D7-directive", F.lit("verdict without both values")),
-        of(numeric & lacking & any_of(diagnosis, VAGUE), "D7-vague", F.lit("vague without both values")),
+    found = F.concat(
+        message_if(F.col("nth") > 1, "D1", subject, F.col("nth")),
+        missing(_fields(FINDING_FIELDS), "D2", subject, empty=empty),
+        message_if(~F.coalesce(severity.isin(*SEVERITIES), F.lit(False)), "D3", subject, severity),
+        missing(_fields(HIGH_RISK_FIELDS), "D4", subject, severity.isin(*HIGH_RISK), empty),
+        message_if(numeric & ~severity.eqNullSafe(F.lit("Blocker")), "D5", subject, severity),
+        missing(_fields(NUMERIC_FIELDS), "D6", subject, numeric, empty),
+        message_if(numeric & both & lacking, "D7", subject, F.lit("diagnosis lacks the reported or computed value")),
+        message_if(numeric & both & lacking & any_of(F.lower(diagnosis), DIRECTIVE), "D7-directive", subject, F.lit("verdict without both values")),
+        message_if(numeric & lacking & any_of(diagnosis, VAGUE), "D7-vague", subject, F.lit("vague without both values")),
     )
+    return all_messages(_shape(bundles, "findings", "findings", "D0"), told(rows, found))
 
 
 def audit_claims(bundles: DataFrame) -> DataFrame:
+    """D1, D2 and D8 on claims."""
     rows = elements(bundles, "claims", "claims")
     subject = F.coalesce(string("v", "claim_id"), F.concat(F.lit("<missing-"), F.col("ord").cast("string"), F.lit(">")))
     links = rows.select("bundle_id", subject.alias("claim"), F.explode(array(get("v", "linked_findings")).cast("array<string>")).alias("id"))
     unknown = links.join(finding_ids(bundles), ["bundle_id", "id"], "left_anti")
-    return all_messages(
-        _shape(bundles, "claims", "claims", "D0"),
-        unique_key(rows, F.col("bundle_id"), subject, F.col("ord"), "D1-claim"),
-        required_fields(rows, F.col("bundle_id"), subject, _fields(CLAIM_FIELDS), "D2-claim", empty=empty),
-        messages(unknown, F.col("bundle_id"), "D8", F.col("claim"), F.col("id"), "warning"),
-    )
+    found = F.concat(message_if(F.col("nth") > 1, "D1-claim", F.col("subject"), F.col("nth")), missing(_fields(CLAIM_FIELDS), "D2-claim", F.col("subject"), empty=empty))
+    return all_messages(_shape(bundles, "claims", "claims", "D0"), told(numbered(rows, subject), found), messages(unknown, F.col("bundle_id"), "D8", F.col("claim"), F.col("id"), "warning"))
 
 
 def _no_object(bundles: DataFrame, column: str, rule: str) -> DataFrame:
@@ -153,15 +163,18 @@ def audit_coverage(bundles: DataFrame) -> DataFrame:
     scope = F.col("bundle_id")
     units = whole.select("bundle_id", F.posexplode(array(get("v", "units"))).alias("k", "u")).withColumn("n", (F.col("k") + 1).cast("string"))
     integer = lambda k: F.when(kind(get("u", k)) == "BIGINT", F.try_variant_get("u", f"$.{k}", "bigint"))
+    of_unit = F.concat(
+        missing(_fields(UNIT_FIELDS, "u"), "D9-unit", F.col("n")),
+        message_if((integer("skipped") > 0) & empty(get("u", "pending_in")), "D10-skipped", F.col("n"), string("u", "unit")),
+        message_if(integer("reviewed") > integer("total"), "D10-reviewed", F.col("n"), string("u", "unit")),
+    )
     passes = whole.select("bundle_id", array(get("v", "reader_journey_passes")).alias("p"))
     listed = passes.select("bundle_id", F.explode("p").alias("i")).select("bundle_id", string("i", "pass").alias("pass"))
     lacking = expected_members(listed, ["bundle_id"], "pass", list(PASSES))
     return all_messages(
         _no_object(bundles, "coverage", "D9"),
         messages(whole.where(F.size(array(get("v", "units"))) == 0), scope, "D9-units", F.lit("units"), F.lit("empty")),
-        required_fields(units, scope, F.col("n"), _fields(UNIT_FIELDS, "u"), "D9-unit"),
-        messages(units.where((integer("skipped") > 0) & empty(get("u", "pending_in"))), scope, "D10-skipped", F.col("n"), string("u", "unit")),
-        messages(units.where(integer("reviewed") > integer("total")), scope, "D10-reviewed", F.col("n"), string("u", "unit")),
+        told(units, of_unit),
         messages(lacking, scope, "D11", F.col("pass"), F.lit("missing"), "warning"),
         messages(passes.where(F.size("p") == 0), scope, "D11-absent", F.lit("reader_journey_passes"), F.lit("absent"), "warning"),
     )
@@ -185,8 +198,7 @@ def audit_observations(bundles: DataFrame) -> DataFrame:
         _no_object(bundles, "pass_observations", "D12"),
         messages(expected_members(rows, ["bundle_id"], "key", list(OBSERVATIONS), whole), scope, "D12-key", F.col("key"), F.lit("missing")),
         messages(rows.where(~F.col("is_list")), scope, "D12-list", F.col("key"), F.lit("not a list")),
-        messages(items.where(~is_object), scope, "D12-object", F.col("subject"), F.lit("not an object")),
-        messages(items.where(is_object & empty(get("i", "location"))), scope, "D12-location", F.col("subject"), F.lit("missing")),
+        told(items, F.concat(message_if(~is_object, "D12-object", F.col("subject"), F.lit("not an object")), message_if(is_object & empty(get("i", "location")), "D12-location", F.col("subject"), F.lit("missing")))),
         messages(counted.where("n IS NULL"), scope, "D12-none", F.lit("pass_observations"), F.lit("no observations"), "warning"),
         messages(links.join(finding_ids(bundles), ["bundle_id", "id"], "left_anti"), scope, "D13", F.col("id"), F.lit("unknown finding"), "warning"),
     )
@@ -225,15 +237,17 @@ def audit_signals(bundles: DataFrame) -> DataFrame:
     whole, rows = payload(bundles, "numeric_audit"), numeric_signals(bundles)
     listed = F.coalesce((kind(F.col("v")) == "OBJECT") & (kind(get("v", "signals")) == "ARRAY"), F.lit(False))
     count = F.when(kind(get("v", "signal_count")) == "BIGINT", F.try_variant_get("v", "$.signal_count", "bigint"))
-    objects = rows.where("is_object")
-    flag = get("v", "render_required")
+    flag, is_object = get("v", "render_required"), F.col("is_object")
+    of_signal = F.concat(
+        message_if(~is_object, "D15-object", subject, F.lit("not an object")),
+        missing(_fields(SIGNAL_FIELDS), "D15-field", subject, is_object, empty),
+        message_if(is_object & flag.isNotNull() & (kind(flag) != "BOOLEAN"), "D15-flag", subject, F.to_json(flag)),
+        message_if(is_object & F.col("required") & ~string("v", "required_severity").eqNullSafe(F.lit("Blocker")), "D15-severity", subject, string("v", "required_severity")),
+    )
     return all_messages(
         messages(whole.where(~listed), scope, "D15", F.lit("numeric_audit"), F.lit("no list of signals")),
         messages(whole.where(listed & (count != F.size(array(get("v", "signals"))))), scope, "D15-count", F.lit("signal_count"), count),
-        messages(rows.where("NOT is_object"), scope, "D15-object", subject, F.lit("not an object")),
-        required_fields(objects, scope, subject, _fields(SIGNAL_FIELDS), "D15-field", empty=empty),
-        messages(objects.where(flag.isNotNull() & (kind(flag) != "BOOLEAN")), scope, "D15-flag", subject, F.to_json(flag)),
-        messages(objects.where(F.col("required") & ~string("v", "required_severity").eqNullSafe(F.lit("Blocker"))), scope, "D15-severity", subject, string("v", "required_severity")),
+        told(rows, of_signal),
     )
 
 
