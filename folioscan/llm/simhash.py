@@ -14,7 +14,7 @@
 search, and repeats of one passage sway them. Where a similarity is asked for, it is that of the sets of shingles, and
 64 bits play no part. Equal sets are one class. Classes that share a key of smallest shingle hashes are compared by
 fingerprints of WIDE bits, whose differing share follows the angle between sets closely: the pivot table discards pairs
-first, then their differing bits do. What is still connected is compared again by the whole sets, and only pairs that
+first, by distances to rows of the same block, then their differing bits do. What is still connected is compared again by the whole sets, and only pairs that
 reach the similarity link. Both comparisons meet in blocks of a bounded size (grouped_links), also in large groups.
 """
 
@@ -58,7 +58,6 @@ def _made(label: str, n: int) -> np.ndarray:
 
 
 _REFERENCES = _made("pivot", PIVOTS)[:, None]
-_WIDE_REFERENCES = _made("wide pivot", PIVOTS * (WIDE // BITS)).reshape(PIVOTS, -1)
 _SHIFTS = _made("shift", WIDE // BITS)
 _FACTORS = _made("factor", BANDS * ROWS) | np.uint64(1)
 
@@ -237,7 +236,9 @@ def _wide_rest(k: int, rest: np.ndarray, sizes: np.ndarray, wide: np.ndarray, ta
 
 
 def _pivot_table(wide: np.ndarray) -> np.ndarray:
-    return np.column_stack([_differ(wide, r) for r in _WIDE_REFERENCES])
+    """Distances to PIVOTS of the rows. References from outside are about equally far from all wide fingerprints; rows
+    of the same block tell its clusters apart."""
+    return np.column_stack([_differ(wide, wide[k]) for k in np.linspace(0, len(wide) - 1, min(PIVOTS, len(wide))).astype(int)])
 
 
 def link_wide(classes: np.ndarray, parts: _Parts, sizes: np.ndarray, wide: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -366,11 +367,8 @@ def _compare_wide(similarity: float):
             sizes = np.diff(starts)
             a = starts[:-1][(sizes == 2)]  # by far the most runs are pairs: all of them at once
             a = a[(part[a] != part[a + 1]) & (np.minimum(size[a], size[a + 1]) >= similarity * np.maximum(size[a], size[a + 1]) - 1e-9)]
-            near, told = np.ones(len(a), bool), np.minimum(size[a], size[a + 1]) >= WIDE_LEAST
-            for ref in _WIDE_REFERENCES:
-                near &= np.abs(_differ(wide[a], ref) - _differ(wide[a + 1], ref)) <= limit
-            near &= _differ(wide[a], wide[a + 1]) <= limit
-            a = a[near | ~told]
+            told = np.minimum(size[a], size[a + 1]) >= WIDE_LEAST
+            a = a[(_differ(wide[a], wide[a + 1]) <= limit) | ~told]  # to each other they are the pivots
             out = list(zip(classes[a].tolist(), classes[a + 1].tolist(), strict=True))
             for at in np.nonzero(sizes > 2)[0].tolist():
                 s = slice(starts[at], starts[at + 1])
