@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this machine that go with this process.
+_own: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, but
@@ -17,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/folioscan-{spark.sparkContext.applicationId}"
+    path = f"{tempfile.gettempdir()}/folioscan-{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
