@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.sources.shared import remove, shared_dir
+
 #: A key is large if it has more than rows / (LARGE_SHARE * partitions) rows, so that many keys are large at most.
 LARGE_SHARE = 4
 #: No key with fewer rows is large.
@@ -20,17 +20,6 @@ LARGE_LEAST = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, but
-    only if the driver is the one executor; on a cluster that raises RuntimeError."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/folioscan-{spark.sparkContext.applicationId}"
-
-
 def partitions(spark: SparkSession) -> int:
     """spark.sql.shuffle.partitions, or the default parallelism where a platform sets it to a word."""
     value = spark.conf.get("spark.sql.shuffle.partitions", "")
@@ -78,11 +67,8 @@ def passing() -> Iterator[list[DataFrame]]:
 def unsettle(*frames: DataFrame) -> None:
     """Delete tables written by settle(); a no-op for other frames."""
     for df in frames:
-        path = getattr(df, "_settled_path", None)
-        if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path := getattr(df, "_settled_path", None):
+            remove(df.sparkSession, path)
 
 
 def word_count(text):
