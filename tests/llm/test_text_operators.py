@@ -1,6 +1,7 @@
 """SimHash, HTML text, line model, line dedup and secrets against plain-Python versions and on awkward rows."""
 
 import html
+import os
 import random
 import re
 from collections import Counter
@@ -156,6 +157,32 @@ def test_similarity_is_that_of_sets_and_exact(spark):
     assert got == {k: {2: 1, 6: 5}.get(k, k) for k in texts}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the generated tables")
+def test_generated_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    plain = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
+    assert plain == brute_groups({k: simhash.fingerprint(t) for k, t in texts.items()})
+    sets = {k: frozenset(simhash.shingle_set(t, 5).tolist()) for k, t in texts.items()}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    order = sorted(sets, key=lambda k: len(sets[k]))
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            if find(a) != find(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, words=5, similarity=0.8).collect()}
+    assert got == {k: find(k) for k in sets}
+
+
 def test_large_groups_by_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE_GROUP", 1)
     test_similarity_against_brute_force(spark)
