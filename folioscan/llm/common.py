@@ -21,8 +21,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
-    """spark.sql.shuffle.partitions, or the default parallelism where a platform sets it to a word."""
-    value = spark.conf.get("spark.sql.shuffle.partitions", "")
+    """spark.sql.shuffle.partitions, Spark's own value where nobody sets it, or the default parallelism where a platform
+    sets it to a word."""
+    # no default here: Spark refuses one that is not a number where the key is unset
+    value = spark.conf.get("spark.sql.shuffle.partitions")
     return int(value) if value.isdecimal() else spark.sparkContext.defaultParallelism
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscan.llm.common import connected_components, settle
+from folioscan.llm.common import connected_components, partitions, settle
 from tests.llm.test_table_operators import fill
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +43,22 @@ def test_run(spark):
     assert out and all(r.words <= 1024 and len(r.doc_ids) == r.n_pieces for r in out)
 
 
+@pytest.fixture
+def unset(spark):
+    """The session without a number of shuffle partitions, as it is where nobody sets one."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def test_line_dedup_stage_without_set_partitions(unset, tmp_path):
+    folder = awkward(unset, tmp_path)
+    assert partitions(unset) == 200
+    assert corpus_pipeline.lines(unset, unset.read.parquet(f"{folder}/documents.parquet"), folder).count() == 7
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5001), (5001, 5000), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
