@@ -17,3 +17,9 @@ def test_op1(unset, tmp_path):  # noqa: F811
     folder = written(unset, tmp_path, "documents", list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in queries.op1_simhash(unset, folder).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_op5(unset, tmp_path):  # noqa: F811
+    rows = [(k, f"all rights\nown line {k}", f"site{k}") for k in range(12)]
+    folder = written(unset, tmp_path, "documents", rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, r.n_removed, r.n_kept_chars) for r in queries.op5_line_dedup(unset, folder).collect()} == {(k, 1, len(f"own line {k}")) for k in range(12)}
