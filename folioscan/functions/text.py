@@ -166,14 +166,28 @@ def gap(reported: Column, computed: Column) -> Column:
     return F.struct(tier.alias("tier"), far.alias("gap_abs"), share.alias("gap_rel"))
 
 
-def row_label(line: Column) -> Column:
-    """Text in front of the line's first number, without a leading row number; a fixed phrase if nothing is left."""
-    at = F.regexp_instr(line, F.lit(P.NUMBER))
-    front = replace_all(F.when(at > 0, F.substr(line, F.lit(1), at - 1)).otherwise(line), r"(?U)^\s+|\s+$")
-    front = replace_all(replace_all(front, r"(?U)\s{2,}", " "), r"^\d+\s+")
+def row_label(line: Column, ends: str = r"(?U)^\s+|\s+$", gaps: str = r"(?U)\s{2,}") -> Column:
+    """Text in front of the line's first number, without a leading row number; a fixed phrase if nothing is left. ends
+    and gaps: the white space that is cut off and that becomes one space."""
+    # places of regexp_instr are in UTF-16 units, so the number itself is looked for
+    first = F.regexp_extract(line, f"({P.NUMBER})", 1)
+    front = replace_all(F.when(first != "", F.substr(line, F.lit(1), F.instr(line, first) - 1)).otherwise(line), ends)
+    front = replace_all(replace_all(front, gaps, " "), r"^\d+\s+")
     return F.coalesce(F.nullif(front, F.lit("")), F.lit("(row label unavailable)"))
 
 
+def exact_text(value: Column) -> Column:
+    """Fixed point with four decimals of the double's whole binary value, as printf gives it, up to 2 ** 116 in size;
+    the shortest digits that number_text prints are others from 2 ** 39 on."""
+    size = F.abs(value)
+    high = F.floor(size / F.lit(2.0**62))
+    low = (size - high.cast("double") * F.lit(2.0**62)).cast("bigint")
+    whole = (high.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("string")
+    # from 2 ** 53 on there is no fraction
+    rest = F.when(size < 2.0**53, F.substr(number_text(size - F.floor(size).cast("double"), F.lit(4)), F.lit(2))).otherwise(".0000")
+    return F.when((size < 2.0**39) | (size >= 2.0**116), number_text(value, F.lit(4))).otherwise(F.concat(F.when(value < 0, "-").otherwise(""), whole, rest))
+
+
 def group_tags(line: Column, tags=P.GROUP_TAGS) -> Column:
     """Upper-cased parenthesised group tags of a header line, in order."""
     return F.transform(find_all(line, rf"(?i)\(\s*({'|'.join(tags)})\s*\)", 1), F.upper)

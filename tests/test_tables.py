@@ -94,3 +94,17 @@ def test_injected_error_is_found(spark, cents, shift):
 
 def cells_of(cents):
     return cents
+
+
+def test_number_extract_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["face \U0001f600\U0001f600 is 12 wide", "account 89370400440532013000 and 1", "key 1000000000000000.3", "a\rb 7\nc d 8", " tab\t 5", "3 \U0001f600 4,000%", "-9007199254740993.5 x", "none", None, "", "1\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["q22_number_extract"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = base.execute(entry.oracle_sql()["q22_number_extract"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
