@@ -102,6 +102,12 @@ def entry_files(files: DataFrame) -> DataFrame:
     return ranked.select("root", "path", F.when(F.col("candidates") > 0, F.col("candidates") - 1).otherwise(0).alias("others"), warning.alias("warning"))
 
 
+def _sorted(table: DataFrame) -> DataFrame:
+    """table as the side of a join that is sorted, never broadcast: tables of files and places grow with the input, and
+    paths compress so well that their size on disk says little about the room they take in the driver."""
+    return table.hint("merge")
+
+
 def include_edges(files: DataFrame) -> DataFrame:
     """(root, src, ord, dst, status): includes in order of appearance. dst is the target, with the source suffix added
     where that file exists; status is ok, missing or outside."""
@@ -114,7 +120,7 @@ def include_edges(files: DataFrame) -> DataFrame:
     options = F.array_distinct(F.array(F.col("whole"), F.regexp_replace("whole", r"\.[^./]*$", ".tex"), F.concat("whole", F.lit(".tex"))))
     tries = edges.select("*", F.posexplode(options).alias("k", "dst"))
     known = files.select("root", F.col("path").alias("dst"), F.lit(True).alias("found"))
-    tries = tries.join(known, ["root", "dst"], "left").withColumn("inside", is_within(F.col("dst"), F.col("root")))
+    tries = tries.join(_sorted(known), ["root", "dst"], "left").withColumn("inside", is_within(F.col("dst"), F.col("root")))
     good = F.coalesce(F.col("found") & F.col("inside"), F.lit(False))
     best = tries.groupBy("root", "src", "ord", "whole").agg(F.min(F.when(good, F.struct("k", "dst")))["dst"].alias("dst"), F.max(F.when(F.col("k") == 0, F.col("inside"))).alias("inside"))
     status = F.when(F.col("dst").isNotNull(), "ok").when(F.col("inside"), "missing").otherwise("outside")
@@ -173,24 +179,24 @@ def include_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     keeps the smallest of each file, so the rounds grow with the depth and the rows with the files, not with the paths.
     """
     spark = edges.sparkSession
-    links = edges.where("status = 'ok'").select("src", "ord", "dst")
+    links, _ = written(edges.where("status = 'ok'").select("src", "ord", "dst"), "links")
     known, known_at = written(roots.select("root", F.col("root").alias("node"), F.array(F.lit(0)).alias("place")).distinct(), "places")
     moved, moved_at = known, None
-    longer = lambda rows: rows.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("place", F.array("ord")).alias("place"))
+    longer = lambda rows: rows.join(_sorted(links), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("place", F.array("ord")).alias("place"))
     while True:
         least = longer(moved).groupBy("root", "node").agg(F.min("place").alias("place"))
         before = known.select("root", "node", F.col("place").alias("old"))
-        better, better_at = written(least.join(before, ["root", "node"], "left").where("old IS NULL OR place < old").select("root", "node", "place"), "moved")
+        better, better_at = written(least.join(_sorted(before), ["root", "node"], "left").where("old IS NULL OR place < old").select("root", "node", "place"), "moved")
         if moved_at:
             remove(spark, moved_at)
         if better.isEmpty():
             break
-        whole, whole_at = written(known.join(better.select("root", "node"), ["root", "node"], "left_anti").unionByName(better), "places")
+        whole, whole_at = written(known.join(_sorted(better.select("root", "node")), ["root", "node"], "left_anti").unionByName(better), "places")
         remove(spark, known_at)
         known, known_at, moved, moved_at = whole, whole_at, better, better_at
     sites = longer(known).unionByName(known.where(F.size("place") == 1))
     first = known.select("root", "node", F.col("place").alias("first"))
-    return sites.distinct().join(first, ["root", "node"]).select("root", "node", "place", (F.col("place") != F.col("first")).alias("repeated"))
+    return sites.distinct().join(_sorted(first), ["root", "node"]).select("root", "node", "place", (F.col("place") != F.col("first")).alias("repeated"))
 
 
 def expanded(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def expanded(files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     reads = include_order(edges, roots).where("NOT repeated").select("root", "node", "place")
     pieces = files.select(F.col("path").alias("node"), F.posexplode(F.split("text", P.INCLUDE)).alias("k", "piece"))
     # the piece after include k - 1 sorts behind everything below that include and before include k
-    placed = reads.join(pieces, "node").withColumn("at", F.concat(F.transform("place", lambda x: x * 2 + 1), F.array(F.col("k") * 2)))
+    placed = reads.join(_sorted(pieces), "node").withColumn("at", F.concat(F.transform("place", lambda x: x * 2 + 1), F.array(F.col("k") * 2)))
     joined = placed.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
     return joined.select("root", F.array_join(F.col("p.piece"), "\n").alias("text"))
 

@@ -108,3 +108,14 @@ def test_number_extract_like_its_sql(spark, tmp_path):
         base.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
         want = base.execute(entry.oracle_sql()["q22_number_extract"]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tables_of_files_are_not_broadcast(spark):
+    from folioscan.sources import projects
+
+    files = spark.createDataFrame([("/c", "/c/0.tex", "a \\input{1} z"), ("/c", "/c/1.tex", "b")], "root string, path string, text string")
+    edges = projects.include_edges(files)
+    out = projects.expanded(files, edges, spark.createDataFrame([("/c/0.tex",)], "root string"))
+    for plan in (edges, out):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert out.first().text.split() == ["a", "b", "z"]
